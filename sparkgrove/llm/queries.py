@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm import mixing, splitting, tokenizing
+from sparkgrove.llm import history, mixing, splitting, tokenizing
 from sparkgrove.session import materialize
 from sparkgrove.sources import tables as t
 
@@ -22,6 +22,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "node_id", "piece_no", "first_page", "last_page")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the new batches that repeat an accepted file, with the entry accepted for it."""
+    return history.repeats(t.load(spark, sf_dir, "folder_docs").select("entry_id", "batch_no", "file_hash", "source_path", "filename"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return tokenizing.encode_column(t.load_once(spark, sf_dir, "documents", "text"), "doc_id", "text")
@@ -56,4 +61,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(chosen, plan)
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares}
