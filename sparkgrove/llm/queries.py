@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm import history, mixing, splitting, tokenizing
+from sparkgrove.llm import history, mixing, pairs, splitting, tokenizing
 from sparkgrove.session import materialize
 from sparkgrove.sources import tables as t
 
 MAX_PAGES, OVERLAP, LEAST = 15, 2, 3
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective pairs of the chats, with the type of their defect."""
+    return pairs.defects(t.load(spark, sf_dir, "chat_messages").select("conv_id", "turn", "role", "content"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page pieces of the nodes that span more than 15 pages."""
     nodes = t.current_nodes(spark, sf_dir, "start_page", "end_page").join(t.known_pages(spark, sf_dir), "document_id")
@@ -61,4 +66,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(chosen, plan)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares}
