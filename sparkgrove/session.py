@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,7 @@ _KEY = "spark.checkpoint.dir"
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests, benches and small local work."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sparkgrove")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -22,6 +24,19 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, for sessions that were not started with it."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkgrove_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sparkgrove-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._sparkgrove_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
