@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm import history, mixing, pairs, splitting, tokenizing
+from sparkgrove.llm import history, mixing, pairs, spam, splitting, tokenizing
 from sparkgrove.session import materialize
 from sparkgrove.sources import tables as t
 
@@ -66,4 +66,9 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(chosen, plan)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spam pages among the documents."""
+    return spam.spam_pages(t.load_once(spark, sf_dir, "documents", "text", "source")).filter("spam").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
