@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.plans import catalog_queries, data_queries
+from sparkgrove.plans import catalog_queries, data_queries, tree_queries
 
-_MODULES = (catalog_queries, data_queries)
+_MODULES = (catalog_queries, data_queries, tree_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 
