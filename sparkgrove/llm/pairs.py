@@ -48,7 +48,7 @@ APOLOGY = (
 )
 NOTE = r"^(?:note|hinweis|remarque|nota) "
 INVISIBLE = r"[​‌‍⁠﻿­   ]"
-QUOTED = r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\"|```[\s\S]*?(?:```|$)|https?://\S+|\[[^\]\n]*\]"
+QUOTED = r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\""
 
 
 def role_of(column: Column) -> Column:
@@ -69,16 +69,22 @@ def pair_up(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
     rows = messages.select(F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"), role_of(F.col(role)).alias("role"), F.col(content).alias("content"))
     rows = rows.filter("conv is not null and turn is not null and role in ('user', 'assistant')").withColumn("block", F.floor(F.col("turn") / block))
     said = F.struct("turn", "role", F.when(F.col("role") == "user", F.col("content")).alias("content"))
-    # the last message of a block is what the next block of the same conversation begins with; only long conversations have one
+    earlier = W.partitionBy("conv", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    longest = rows.agg(F.max("turn")).first()[0]
+    if longest is not None and longest >= block:
+        rows = rows.unionByName(_carried(rows, said, block))
+    paired = rows.withColumn("said", F.max(said).over(earlier))
+    paired = paired.filter("role = 'assistant' and said.role = 'user' and turn >= block * " + str(block))
+    return paired.select(F.col("conv").alias(conversation), F.col("turn").cast("int").alias(turn), F.col("said.content").alias("question"), F.col("content").alias("answer"))
+
+
+def _carried(rows: DataFrame, said: Column, block: int) -> DataFrame:
+    """The last message of each block of a long conversation, as what its next block begins with."""
     long = rows.filter(F.col("turn") >= block).select("conv").distinct()
     ends = rows.join(long, "conv", "left_semi").groupBy("conv", "block").agg(F.max(said).alias("carry"))
     later = W.partitionBy("conv").orderBy("block")
     ends = ends.select("conv", F.lead("block").over(later).alias("block"), "carry").filter("block is not null")
-    carried = ends.select("conv", "carry.turn", F.col("carry.role").alias("role"), F.col("carry.content").alias("content"), "block")
-    earlier = W.partitionBy("conv", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    paired = rows.unionByName(carried).withColumn("said", F.max(said).over(earlier))
-    paired = paired.filter("role = 'assistant' and said.role = 'user' and turn >= block * " + str(block))
-    return paired.select(F.col("conv").alias(conversation), F.col("turn").cast("int").alias(turn), F.col("said.content").alias("question"), F.col("content").alias("answer"))
+    return ends.select("conv", "carry.turn", F.col("carry.role").alias("role"), F.col("carry.content").alias("content"), "block")
 
 
 def visible(text: Column) -> Column:
@@ -88,8 +94,10 @@ def visible(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Letters, numbers and inner apostrophes in lower case, one blank between words; markup left out."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"<[^<>]*>", " "), "’", "'")
-    return F.btrim(F.regexp_replace(F.replace(F.lower(bare), F.lit("ß"), F.lit("ss")), r"(?:[^\p{L}\p{N}']|(?<![\p{L}])'|'(?![\p{L}]))+", " "))
+    bare = F.when(text.contains("<"), F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(text)
+    folded = F.replace(F.replace(F.lower(bare), F.lit("’"), F.lit("'")), F.lit("ß"), F.lit("ss"))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}']+", " "), F.lit(" "))
+    return F.btrim(F.replace(F.replace(spaced, F.lit("' "), F.lit(" ")), F.lit(" '"), F.lit(" ")))
 
 
 def is_empty(words: Column) -> Column:
@@ -99,20 +107,27 @@ def is_empty(words: Column) -> Column:
 def is_copy(question: Column, answer: Column) -> Column:
     """Both as plain words: nothing but the question, once or more, with up to four words of dress."""
     rest = F.btrim(F.regexp_replace(F.replace(answer, question, F.lit(" ")), " +", " "))
-    extra = F.when(rest == "", 0).otherwise(F.size(F.split(rest, " ")))
-    enough = F.size(F.split(question, " ")) >= 3
-    return (question != "") & ((answer == question) | (enough & answer.contains(question) & (extra <= 4) & ~rest.rlike("[0-9]")))
+    dressed = (F.size(F.split(question, " ")) >= 3) & ((rest == "") | ((F.size(F.split(rest, " ")) <= 4) & ~rest.rlike("[0-9]")))
+    return F.when((question == "") | ~answer.contains(question), False).when(answer == question, True).otherwise(dressed)
 
 
-def with_language(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the language of a visible text by script and function words, quotations, links and code aside; null if it can't be told."""
-    rows = rows.withColumn("_bare", F.regexp_replace(text, QUOTED, " ")).withColumn("_words", F.split(plain_words(F.col("_bare")), " "))
-    counts = [F.struct(F.size(F.array_intersect("_words", F.lit(known.split()))).alias("n"), F.lit(code).alias("code")) for code, known in WORDS.items()]
-    rows = rows.withColumn("_top", F.sort_array(F.array(*counts), asc=False)).withColumn("_letters", F.regexp_replace("_bare", r"[^\p{L}]", ""))
-    script = lambda s: F.length(F.regexp_replace("_letters", rf"[^{s}]", "")) * 2 > F.length("_letters")
+def with_language(rows: DataFrame, text: str, words: str, name: str) -> DataFrame:
+    """Adds the language of a visible text by script and function words, quotations aside; null if it can't be told.
+
+    ``words`` are the plain words of the text, which serve where nothing is quoted. Words are compared by hash, as sets
+    of long integers.
+    """
+    quoted = F.col(text).rlike("[“«„\"]")
+    bare = F.when(quoted, plain_words(F.regexp_replace(text, QUOTED, " "))).otherwise(F.col(words))
+    rows = rows.withColumn("_hashes", F.transform(F.split(bare, " "), lambda w: F.xxhash64(w)))
+    known = rows.sparkSession.range(1).select(*[F.transform(F.lit(ws.split()), lambda w: F.xxhash64(w)).alias(code) for code, ws in WORDS.items()]).first()
+    counts = [F.struct(F.size(F.array_intersect("_hashes", F.lit(list(known[code])).cast("array<bigint>"))).alias("n"), F.lit(code).alias("code")) for code in WORDS]
+    rows = rows.withColumn("_top", F.sort_array(F.array(*counts), asc=False))
+    own = F.regexp_replace(text, r"\[[^\]\n]*\]|https?://\S+", " ")
+    script = lambda s: F.col(text).rlike(f"[{s}]") & (F.length(F.regexp_replace(own, f"[^{s}]", "")) * 2 > F.length(F.regexp_replace(own, r"[^\p{L}]", "")))
     by_words = F.when((F.col("_top")[0]["n"] > 0) & (F.col("_top")[0]["n"] > F.col("_top")[1]["n"]), F.col("_top")[0]["code"])
-    told = F.when(F.col("_letters") == "", None).when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\p{IsCyrillic}"), "ru").when(script(r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"), "ja").otherwise(by_words)
-    return rows.withColumn(name, told).drop("_bare", "_words", "_top", "_letters")
+    told = F.when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
+    return rows.withColumn(name, told).drop("_hashes", "_top")
 
 
 def is_foreign(question: Column, answer: Column, asked: Column) -> Column:
@@ -145,8 +160,10 @@ def is_truncated(text: Column) -> Column:
     reference = r"^(?:pp?\.\s*[\d-]+|(?:section|page|abschnitt|seite|página|sección)\s+[\d.]+|(?:about|around|circa|ca\.|etwa|environ|unos)?\s*[\d.,]+\s*[%°\p{L}/]*|(?:\p{L}+ )?\p{Lu}?\p{L}+ \d{4}|\d+[./-]\d+[./-]\d+)$"
     name = r"^(?:\p{Lu}[\p{L}'.-]*|&|of|de|der|von|du)(?: (?:\p{Lu}[\p{L}'.-]*|&|of|de|der|von|du)){0,3}$"
     brief = (short <= 4) & (text.rlike("(?i)" + reference) | text.rlike(name)) & ~text.rlike(r"(?i)\b(?:of|de|der|von|du|&|in|the)$")
+    plainly = text.rlike(r"(?:[^.][.]|[!?。])$") & ~text.contains("```") & ~F.substring(text, -8, 8).rlike(r"(?:^|\n) *\d+[.]$") & ~F.substring(text, -150, 150).rlike(r"\[[^\]]*$")
+    cited_last = text.rlike(r"[.!?。] ?\[[^\[\]]+\]$") & ~text.contains("```")
     cut = (fences % 2 == 1) | opened | tail.rlike(r"(\.\.\.|…)" + closing) | tail.rlike(r"\n\s*(?:[-*•]|\d+[.)])\s*$")
-    return (text != "") & (cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
+    return F.when((text == "") | plainly | cited_last, False).otherwise(cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
 
 
 def opening_of(words: Column) -> tuple[Column, Column]:
@@ -160,8 +177,9 @@ def opening_of(words: Column) -> tuple[Column, Column]:
 def cluster(openings: DataFrame) -> DataFrame:
     """(opening, label) of distinct openings; the label is an opening of the same cluster.
 
-    MinHash of the five-word shingles picks candidates, the share of common shingles verifies them: openings of one band are compared with its
-    smallest opening, and those that are not similar to it go on to another round among themselves, so that none is lost.
+    MinHash of the five-word shingles picks candidates, the share of common shingles verifies them: in each band an opening
+    is compared with the band's smallest one, never with all others. What is similar to none of them stays a
+    cluster of its own; equal openings are one row from the start and so are never parted.
     """
     words = F.split("opening", " ")
     shingles = F.when(F.size(words) < SHINGLE, F.array("opening")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
@@ -172,20 +190,10 @@ def cluster(openings: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("band", F.explode(F.array(*[F.xxhash64(F.lit(b), *[least_hash(k) for k in (2 * b, 2 * b + 1)]) for b in range(4)])))
     rows = materialize(rows, "bands")
-    links = None
-    while True:
-        least = rows.groupBy("band").agg(F.min(F.struct("opening", "shingles")).alias("rep"))
-        joined = rows.join(least, "band")
-        common = F.size(F.array_intersect("shingles", "rep.shingles"))
-        alike = common >= SIMILAR * F.size(F.array_union("shingles", "rep.shingles"))
-        joined = joined.withColumn("alike", alike)
-        found = materialize(joined.select("opening", "shingles", "band", "alike", F.col("rep.opening").alias("rep")), "links")
-        part = found.filter("alike").select("opening", "rep")
-        links = part if links is None else links.unionByName(part)
-        rows = found.filter("not alike").select("opening", "shingles", "band")
-        if rows.isEmpty():
-            break
-    label = links.groupBy("opening").agg(F.min("rep").alias("label"))
+    least = rows.groupBy("band").agg(F.min(F.struct("opening", "shingles")).alias("rep"))
+    joined = rows.join(least, "band")
+    alike = F.size(F.array_intersect("shingles", "rep.shingles")) >= SIMILAR * F.size(F.array_union("shingles", "rep.shingles"))
+    label = materialize(joined.groupBy("opening").agg(F.min(F.when(alike, F.col("rep.opening")).otherwise(F.col("opening"))).alias("label")), "labels")
     while True:  # labels of labels, until every label is its own
         up = label.select(F.col("opening").alias("label"), F.col("label").alias("root"))
         label = materialize(label.join(up, "label").select("opening", "root", (F.col("root") != F.col("label")).alias("moved")), "labels")
@@ -213,7 +221,7 @@ def defects(messages: DataFrame) -> DataFrame:
     pairs = pair_up(messages)
     pairs = pairs.withColumn("a", visible(F.col("answer"))).withColumn("q", visible(F.col("question")))
     pairs = pairs.withColumn("aw", plain_words(F.col("a"))).withColumn("qw", plain_words(F.col("q")))
-    pairs = with_language(with_language(pairs, "q", "ql"), "a", "al")
+    pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al")
     opening, apology = opening_of(F.col("aw"))
     plain = (
         F.when(is_empty(F.col("aw")), "empty")
