@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.plans import catalog_queries, data_queries, tree_queries
+from sparkgrove.plans import catalog_queries, data_queries, search_queries, tree_queries
 
-_MODULES = (catalog_queries, data_queries, tree_queries)
+_MODULES = (search_queries, catalog_queries, tree_queries, data_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p5_found"](spark, sf_dir)
+    return QUERIES["ask"](spark, sf_dir)
