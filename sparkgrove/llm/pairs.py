@@ -30,6 +30,8 @@ WORDS = {
     "fr": "le les des du est et une dans pour sur avec qui ne pas cette ce au aux il ils selon oui non voir depuis nous vous être été sont son ses avant après toute doit par plus reste pourra quelle quelles quand c'est l'a d'après résumé rapport à je n'a montant s'élève chaque page quel quelques mais",
     "es": "el los las del y una en para con por se sí según este esta al su sus lo como más cada debe ser podrá antes desde qué cuál cuándo quién cómo dónde véase página puede está son ha han fue pero nos recomendamos queda próxima sobre me muy",
 }
+#: The first so many of them are the commonest; with so many of these a text is in the language.
+COMMON, ENOUGH = 16, 3
 #: How a question asks for an answer in another language.
 ASKS = {
     "en": r"\b(in english|auf englisch|en anglais|en inglés)\b",
@@ -111,23 +113,34 @@ def is_copy(question: Column, answer: Column) -> Column:
     return F.when((question == "") | ~answer.contains(question), False).when(answer == question, True).otherwise(dressed)
 
 
-def with_language(rows: DataFrame, text: str, words: str, name: str) -> DataFrame:
+def speaks(words: Column, code: str) -> Column:
+    """How often the commonest function words of a language stand among plain words."""
+    return F.size(F.split(F.concat(F.lit(" "), words, F.lit(" ")), f" (?:{'|'.join(WORDS[code].split()[:COMMON])})(?= )")) - 1
+
+
+def with_language(rows: DataFrame, text: str, words: str, name: str, like: str | None = None) -> DataFrame:
     """Adds the language of a visible text by script and function words, quotations aside; null if it can't be told.
 
     ``words`` are the plain words of the text, which serve where nothing is quoted. Words are compared by hash, as sets
-    of long integers.
+    of long integers. ``like`` names a column with the language to expect: a text with enough of that language's
+    commonest words is in it, and the others aren't counted.
     """
+    expected = F.lit(False)
+    if like:
+        for code in WORDS:
+            expected = F.when(F.col(like) == code, speaks(F.col(words), code) >= ENOUGH).otherwise(expected)
+    rows = rows.withColumn("_expected", F.coalesce(expected, F.lit(False)))
     quoted = F.col(text).rlike("[“«„\"]")
     bare = F.when(quoted, plain_words(F.regexp_replace(text, QUOTED, " "))).otherwise(F.col(words))
-    rows = rows.withColumn("_hashes", F.transform(F.split(bare, " "), lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("_hashes", F.when(~F.col("_expected"), F.transform(F.split(bare, " "), lambda w: F.xxhash64(w))))
     known = rows.sparkSession.range(1).select(*[F.transform(F.lit(ws.split()), lambda w: F.xxhash64(w)).alias(code) for code, ws in WORDS.items()]).first()
     counts = [F.struct(F.size(F.array_intersect("_hashes", F.lit(list(known[code])).cast("array<bigint>"))).alias("n"), F.lit(code).alias("code")) for code in WORDS]
-    rows = rows.withColumn("_top", F.sort_array(F.array(*counts), asc=False))
+    rows = rows.withColumn("_top", F.when(~F.col("_expected"), F.sort_array(F.array(*counts), asc=False)))
     own = F.regexp_replace(text, r"\[[^\]\n]*\]|https?://\S+", " ")
     script = lambda s: F.col(text).rlike(f"[{s}]") & (F.length(F.regexp_replace(own, f"[^{s}]", "")) * 2 > F.length(F.regexp_replace(own, r"[^\p{L}]", "")))
     by_words = F.when((F.col("_top")[0]["n"] > 0) & (F.col("_top")[0]["n"] > F.col("_top")[1]["n"]), F.col("_top")[0]["code"])
-    told = F.when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
-    return rows.withColumn(name, told).drop("_hashes", "_top")
+    told = F.when(F.col("_expected"), F.col(like) if like else F.lit(None)).when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
+    return rows.withColumn(name, told).drop("_expected", "_hashes", "_top")
 
 
 def is_foreign(question: Column, answer: Column, asked: Column) -> Column:
@@ -160,10 +173,12 @@ def is_truncated(text: Column) -> Column:
     reference = r"^(?:pp?\.\s*[\d-]+|(?:section|page|abschnitt|seite|página|sección)\s+[\d.]+|(?:about|around|circa|ca\.|etwa|environ|unos)?\s*[\d.,]+\s*[%°\p{L}/]*|(?:\p{L}+ )?\p{Lu}?\p{L}+ \d{4}|\d+[./-]\d+[./-]\d+)$"
     name = r"^(?:\p{Lu}[\p{L}'.-]*|&|of|de|der|von|du)(?: (?:\p{Lu}[\p{L}'.-]*|&|of|de|der|von|du)){0,3}$"
     brief = (short <= 4) & (text.rlike("(?i)" + reference) | text.rlike(name)) & ~text.rlike(r"(?i)\b(?:of|de|der|von|du|&|in|the)$")
-    plainly = text.rlike(r"(?:[^.][.]|[!?。])$") & ~text.contains("```") & ~F.substring(text, -8, 8).rlike(r"(?:^|\n) *\d+[.]$") & ~F.substring(text, -150, 150).rlike(r"\[[^\]]*$")
-    cited_last = text.rlike(r"[.!?。] ?\[[^\[\]]+\]$") & ~text.contains("```")
+    # most answers end plainly or with a citation after a full stop; their last characters tell
+    end, fenced = F.substring(text, -150, 150), text.contains("```")
+    plainly = F.substring(text, -2, 2).rlike(r"^[^.][.]$|[!?。]$") & ~F.substring(text, -8, 8).rlike(r"(?:^|\n) *\d+[.]$") & ~end.rlike(r"\[[^\]]*$")
+    cited_last = text.endswith("]") & end.rlike(r"[.!?。] ?\[[^\[\]]+\]$")
     cut = (fences % 2 == 1) | opened | tail.rlike(r"(\.\.\.|…)" + closing) | tail.rlike(r"\n\s*(?:[-*•]|\d+[.)])\s*$")
-    return F.when((text == "") | plainly | cited_last, False).otherwise(cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
+    return F.when((text == "") | (~fenced & (plainly | cited_last)), False).otherwise(cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
 
 
 def opening_of(words: Column) -> tuple[Column, Column]:
@@ -219,9 +234,9 @@ def defects(messages: DataFrame) -> DataFrame:
     Texts are judged whole. An empty table gives an empty result; see ``pair_up`` for nulls, ties and repeated rows.
     """
     pairs = pair_up(messages)
-    pairs = pairs.withColumn("a", visible(F.col("answer"))).withColumn("q", visible(F.col("question")))
+    pairs = pairs.withColumn("a", visible(F.col("answer"))).withColumn("q", F.coalesce("question", F.lit("")))
     pairs = pairs.withColumn("aw", plain_words(F.col("a"))).withColumn("qw", plain_words(F.col("q")))
-    pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al")
+    pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al", like="ql")
     opening, apology = opening_of(F.col("aw"))
     plain = (
         F.when(is_empty(F.col("aw")), "empty")
