@@ -54,7 +54,7 @@ def merge_segments(bounds: Sequence[int], strengths: Sequence[float], limit: int
                 previous[following[b]] = a
             chop(a)
         else:
-            settled[b], lead[b] = True, overlap
+            settled[b], lead[b] = True, min(overlap, start[b] - bounds[0])
     i = 0
     while i < n:
         chop(i)
