@@ -10,8 +10,11 @@ from sparkgrove.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", 4)
+    session = local_session("4", 2)
     session.sparkContext.setLogLevel("ERROR")
+    # the tables are tiny: compiling whole stages would take longer than running them
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
     yield session
     session.stop()
 
