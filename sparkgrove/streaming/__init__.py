@@ -1 +1 @@
-"""streaming"""
+"""Streams of catalog entries and chats."""
