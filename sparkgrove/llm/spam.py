@@ -141,12 +141,12 @@ def shingles(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, r"\p{N}+", "0"), r"[^\p{L}\p{M}0\n]+", " ")
     phrases = F.filter(F.transform(F.split(plain, "\n"), F.btrim), lambda x: x != "")
 
-    def of_phrase(phrase: Column) -> Column:
-        words = F.split(phrase, " ")
+    def of_words(words: Column) -> Column:
+        # single items, as a slice would copy the whole array for every shingle
         last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_sort(F.array_distinct(F.slice(words, i + 1, SHINGLE)))))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.get(words, i + k) for k in range(SHINGLE)]))))))
 
-    return F.flatten(F.transform(phrases, of_phrase))
+    return F.flatten(F.transform(F.transform(phrases, lambda x: F.split(x, " ")), of_words))
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -161,7 +161,8 @@ def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     lists = materialize(with_list_share(docs, "key", "text").filter("total > 0"), "lists")
     phrases = docs.filter("text is not null").select("key", "host", F.explode(shingles(F.col("text"))).alias("shingle"))
     dense = lists.filter(F.col("listed") > LISTED * F.col("total")).select("key")
-    mine = materialize(phrases.join(dense, "key", "left_semi").groupBy("key", "shingle").agg(F.count("*").alias("times")), "mine")
+    listed = docs.join(dense, "key", "left_semi").select("key", F.explode(shingles(F.col("text"))).alias("shingle"))
+    mine = materialize(listed.groupBy("key", "shingle").agg(F.count("*").alias("times")), "mine")
     spread = phrases.select("shingle", "host").distinct().groupBy("shingle").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
     joined = mine.join(spread, "shingle", "left")
     stitched = (F.col("hosts") >= HOSTS) | (F.col("times") >= 2)
