@@ -49,3 +49,8 @@ def ucb1(reward: Column, visits: Column, parent_visits: Column) -> Column:
 def rank_score(reward: Column, visits: Column) -> Column:
     """Mean reward times the logarithm of the visits plus one."""
     return mean_reward(reward, visits) * F.log(visits + 1)
+
+
+def rounded(value: Column, unit: float = 1e6) -> Column:
+    """To the nearest part of ``unit``, halves up, by arithmetic that every engine does alike."""
+    return F.floor(value * unit + 0.5) / unit

@@ -86,7 +86,7 @@ _FOLD = f"""aggregate(sequence(1, {ITERATIONS}), named_struct('n', transform(r,
 
 def tree_search(groups: DataFrame) -> DataFrame:
     """Searches a tree per row: needs ``nodes`` (of tree_arrays) and ``q_words``; adds ``r`` (scores) and ``s`` (n, w, steps, done)."""
-    rows = groups.withColumn("r", F.transform("nodes", lambda x: F.round(scoring.relevance(F.col("q_words"), x["n_words"]), 6)))
+    rows = groups.withColumn("r", F.transform("nodes", lambda x: scoring.rounded(scoring.relevance(F.col("q_words"), x["n_words"]))))
     rows = rows.withColumn("kids", F.col("nodes.kids")).withColumn("anc", F.col("nodes.anc"))
     return rows.withColumn("s", F.expr(_FOLD)).drop("kids", "anc")
 
@@ -95,7 +95,7 @@ def visited(searched: DataFrame, *keys: str) -> DataFrame:
     """One row per visited node: keys, at, node_id, visits, reward, mean and rank_score (rounded), pages."""
     rows = searched.select(*keys, F.posexplode("nodes").alias("at", "x"), "s")
     rows = rows.select(*keys, "at", "x.node_id", "x.start_page", "x.end_page", F.col("s.n")[F.col("at")].alias("visits"), F.col("s.w")[F.col("at")].alias("reward")).filter("visits > 0")
-    return rows.withColumn("mean", F.round(scoring.mean_reward(F.col("reward"), F.col("visits")), 6)).withColumn("rank_score", F.round(scoring.rank_score(F.col("reward"), F.col("visits")), 6))
+    return rows.withColumn("mean", scoring.rounded(scoring.mean_reward(F.col("reward"), F.col("visits")))).withColumn("rank_score", scoring.rounded(scoring.rank_score(F.col("reward"), F.col("visits"))))
 
 
 def apart(found: DataFrame, *keys: str, k: int = TOP_K) -> DataFrame:

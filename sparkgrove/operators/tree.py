@@ -71,7 +71,7 @@ def coverage(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     covered = ranges.filter("start_page <= end_page").select("document_id", F.explode(F.sequence("start_page", "end_page")).alias("page"))
     counts = covered.distinct().groupBy("document_id").agg(F.count("*").alias("covered"))
     rows = pages.join(counts, "document_id", "left").fillna(0, ["covered"])
-    return rows.select("document_id", "total_pages", "covered", F.round(F.col("covered") / F.col("total_pages"), 6).alias("ratio"))
+    return rows.select("document_id", "total_pages", "covered", (F.floor(F.col("covered") / F.col("total_pages") * 1e6 + 0.5) / 1e6).alias("ratio"))
 
 
 def reading_batches(pages: DataFrame, size: int = 15, overlap: int = 2) -> DataFrame:

@@ -109,14 +109,14 @@ SQL = {
         SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY adjusted DESC, place) AS INTEGER) AS rank_no FROM ad""",
     "answer_context": f"""{_CARDS} SELECT conv_id, turn, string_agg('--- Source ' || (place + 1) || ': ' || coalesce(document, '?') || ' → ' || coalesce(section, '?') || ' (' || coalesce(pages, '?') || ') ---', chr(10) ORDER BY place) AS context FROM ca GROUP BY conv_id, turn""",
     "relevance_bands": f"{_CARDS} SELECT CAST(least(floor(score * 5) + 1, 5) AS INTEGER) AS band, count(*) AS sources FROM ca WHERE score IS NOT NULL GROUP BY 1",
-    "score_parse": f"""{_CARDS} SELECT conv_id, turn, place, CASE conv_id % 4 WHEN 0 THEN CASE WHEN score IS NULL THEN 0.3 ELSE greatest(least(score, 1.0), 0.0) END WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.3 END AS parsed FROM ca""",
+    "score_parse": f"""{_CARDS} SELECT conv_id, turn, place, CASE conv_id % 4 WHEN 0 THEN CASE WHEN score IS NULL THEN 0.3 ELSE greatest(least(score, 1.0), 0.0) END WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.0 ELSE 0.3 END AS parsed FROM ca""",
     "usage_cost": f"""{_CM}, u AS (SELECT folder_name, count(*) FILTER (cardinality(stats) > 0) AS answers, CAST(sum(TRY_CAST(TRY_CAST(replace(stats['llm_calls'], '$', '') AS DOUBLE) AS BIGINT)) AS BIGINT) AS calls,
             round(sum(TRY_CAST(replace(stats['cost'], '$', '') AS DOUBLE)), 4) AS reported_cost, CAST(sum(CASE WHEN {_ROLE} = 'user' THEN {_WORDS} ELSE 0 END) AS BIGINT) AS input_words,
             CAST(sum(CASE WHEN {_ROLE} = 'assistant' THEN {_WORDS} ELSE 0 END) AS BIGINT) AS output_words FROM cm GROUP BY folder_name)
         SELECT *, round(input_words / 1e6 * 2.5 + output_words / 1e6 * 10.0, 4) AS list_cost FROM u""",
     "route_fallback": f"""WITH qs AS (SELECT DISTINCT message_id AS query_id, content FROM chat_messages WHERE message_id % 100 = 0 AND {_ROLE} = 'user' AND content IS NOT NULL),
         n AS (SELECT query_id, min(f.folder_name) AS named FROM qs JOIN folders f ON contains(lower(content), lower(f.folder_name)) GROUP BY query_id)
-        SELECT query_id, coalesce(named, (SELECT min(folder_name) FROM folders)) AS folder_name, CASE WHEN named IS NULL THEN 0.3 ELSE 0.7 END AS confidence FROM qs LEFT JOIN n USING (query_id)""",
+        SELECT query_id, coalesce(named, (SELECT min(folder_name) FROM folders)) AS folder_name, CAST(CASE WHEN named IS NULL THEN 0.3 ELSE 0.7 END AS DOUBLE) AS confidence FROM qs LEFT JOIN n USING (query_id)""",
     "route_validate": f"{_CM} SELECT conv_id, turn, folder_name FROM cm WHERE folder_name IN (SELECT folder_name FROM folders)",
     "skip_corrupt": """WITH r AS (SELECT DISTINCT record_id, folder_name, raw FROM index_records)
         SELECT folder_name, count(*) FILTER (coalesce(json_valid(raw), false)) AS readable, count(*) FILTER (NOT coalesce(json_valid(raw), false)) AS skipped FROM r GROUP BY folder_name""",

@@ -43,25 +43,25 @@ def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = search.document_scores(questions(spark, sf_dir), documents(spark, sf_dir))
-    return scores.select("query_id", "entry_id", F.round("score", 6).alias("score"))
+    return scores.select("query_id", "entry_id", scoring.rounded(F.col("score")).alias("score"))
 
 
 def phase1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of the first fifteen documents of the folder, for each question."""
     scores = search.document_scores(questions(spark, sf_dir), search.first_documents(documents(spark, sf_dir)))
-    return search.best_documents(scores).select("query_id", "rank_no", "entry_id", F.round("score", 6).alias("score"))
+    return search.best_documents(scores).select("query_id", "rank_no", "entry_id", scoring.rounded(F.col("score")).alias("score"))
 
 
 def phase1_topk_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of all documents of the folder."""
     scores = search.document_scores(questions(spark, sf_dir), documents(spark, sf_dir))
-    return search.best_documents(scores).select("query_id", "rank_no", "entry_id", F.round("score", 6).alias("score"))
+    return search.best_documents(scores).select("query_id", "rank_no", "entry_id", scoring.rounded(F.col("score")).alias("score"))
 
 
 def bandit_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the flat search of a folder visits each of its first documents."""
     scores = search.document_scores(questions(spark, sf_dir), search.first_documents(documents(spark, sf_dir)))
-    arms = scores.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entry_id", F.round("score", 6).alias("score")))).alias("arms"))
+    arms = scores.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entry_id", scoring.rounded(F.col("score")).alias("score")))).alias("arms"))
     arms = arms.withColumn("visits", search.flat_visits(F.col("arms.score"), F.least(F.lit(search.META_ITERATIONS), F.size("arms") * 5)))
     return arms.select("query_id", F.inline(F.arrays_zip("arms.entry_id", "visits"))).toDF("query_id", "entry_id", "visits").filter("visits > 0")
 
@@ -69,27 +69,27 @@ def bandit_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance of every node to the description of its document."""
     rows = _words_of_nodes(spark, sf_dir).join(_descriptions(spark, sf_dir), "document_id")
-    return rows.select("document_id", "node_id", F.round(scoring.relevance(F.col("q_words"), F.col("n_words")), 6).alias("score"))
+    return rows.select("document_id", "node_id", scoring.rounded(scoring.relevance(F.col("q_words"), F.col("n_words"))).alias("score"))
 
 
 def _backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = materialize(_words_of_nodes(spark, sf_dir), "nodes")
-    scored = nodes.join(_descriptions(spark, sf_dir), "document_id").select("document_id", "node_id", F.round(scoring.relevance(F.col("q_words"), F.col("n_words")), 6).alias("score"))
+    scored = nodes.join(_descriptions(spark, sf_dir), "document_id").select("document_id", "node_id", scoring.rounded(scoring.relevance(F.col("q_words"), F.col("n_words"))).alias("score"))
     sums = tree.closure(nodes.select("document_id", "node_id", "parent_id")).join(scored, tree.NODE).groupBy("document_id", F.col("ancestor_id").alias("node_id"))
-    sums = sums.agg(F.count("*").alias("visits"), F.sum("score").alias("reward"))
+    sums = sums.agg(F.count("*").alias("visits"), F.sum(F.floor(F.col("score") * 1e6 + 0.5)).alias("reward_micro"))
     return sums.join(nodes.select("document_id", "node_id", "parent_id"), tree.NODE)
 
 
 def backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits and rewards of every node when each node of its subtree is scored once."""
-    return _backprop(spark, sf_dir).select("document_id", "node_id", "visits", F.round("reward", 4).alias("reward"))
+    return _backprop(spark, sf_dir).select("document_id", "node_id", "visits", "reward_micro")
 
 
 def ucb1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(_backprop(spark, sf_dir), "backprop")
     parents = rows.select("document_id", F.col("node_id").alias("parent_id"), F.col("visits").alias("parent_visits"))
     joined = rows.join(parents, ["document_id", "parent_id"], "left")
-    return joined.select("document_id", "node_id", "visits", F.round(scoring.ucb1(F.col("reward"), F.col("visits"), F.col("parent_visits")), 4).alias("ucb1"))
+    return joined.select("document_id", "node_id", "visits", scoring.rounded(scoring.ucb1(F.col("reward_micro") / 1e6, F.col("visits"), F.col("parent_visits")), 1e4).alias("ucb1"))
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,11 @@ def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("place").cast("int").alias("place"), "document_id", "node_id", "mean", cited.alias("citation"))
 
 
+def _r(value: str, unit: str = "1e6") -> str:
+    """Rounded as scoring.rounded does it."""
+    return f"floor(({value}) * {unit} + 0.5) / {unit}"
+
+
 def _tokens(*columns: str) -> str:
     return f"list_distinct(list_filter(string_split(lower(concat_ws(' ', {', '.join(columns)})), ' '), lambda w: w <> ''))"
 
@@ -170,10 +175,10 @@ _ASKED = f"""qs AS (SELECT DISTINCT message_id AS query_id, folder_name, {_token
 _NODEWORDS = _NODES.replace("'end_page': end_page}", "'end_page': end_page, 'keywords': keywords}") + f""",
     nw AS (SELECT document_id, node_id, parent_id, preorder, title, start_page, end_page, {_tokens('title', 'summary', _KW)} AS w FROM cur),
     de AS (SELECT DISTINCT document_id, folder_name, {_tokens('description')} AS qw FROM doc_index)"""
-_NS = f"{_NODEWORDS}, ns AS (SELECT document_id, node_id, parent_id, round({_REL.format('w')}, 6) AS score FROM nw JOIN de USING (document_id))"
+_NS = f"{_NODEWORDS}, ns AS (SELECT document_id, node_id, parent_id, {_r(_REL.format('w'))} AS score FROM nw JOIN de USING (document_id))"
 _CLOSURE = """cl AS (SELECT document_id, node_id AS ancestor_id, node_id, 0 AS distance, parent_id FROM cur
         UNION ALL SELECT cl.document_id, c.node_id, cl.node_id, cl.distance + 1, c.parent_id FROM cl JOIN cur c ON c.document_id = cl.document_id AND c.node_id = cl.parent_id)"""
-_BP = f"""{_NS}, {_CLOSURE}, bp AS (SELECT cl.document_id, cl.ancestor_id AS node_id, count(*) AS visits, sum(ns.score) AS reward FROM cl JOIN ns ON ns.document_id = cl.document_id AND ns.node_id = cl.node_id GROUP BY ALL)"""
+_BP = f"""{_NS}, {_CLOSURE}, bp AS (SELECT cl.document_id, cl.ancestor_id AS node_id, count(*) AS visits, CAST(sum(CAST(floor(ns.score * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS reward_micro FROM cl JOIN ns ON ns.document_id = cl.document_id AND ns.node_id = cl.node_id GROUP BY ALL)"""
 
 
 def _fold(groups: str) -> str:
@@ -186,7 +191,7 @@ def _fold(groups: str) -> str:
     ki AS (SELECT document_id, up AS a, list(a ORDER BY a) AS kids FROM ua WHERE distance = 1 GROUP BY ALL),
     tr AS (SELECT pl.document_id, list(pl.w ORDER BY pl.a) AS ws, list(an.anc ORDER BY pl.a) AS anc, list(coalesce(ki.kids, []) ORDER BY pl.a) AS kids FROM pl JOIN an USING (document_id, a) LEFT JOIN ki USING (document_id, a) GROUP BY pl.document_id),
     gr AS ({groups}),
-    st AS (SELECT g, gr.document_id, anc, kids, list_transform(ws, lambda w: round({_REL.format('w')}, 6)) AS r FROM gr JOIN tr USING (document_id)),
+    st AS (SELECT g, gr.document_id, anc, kids, list_transform(ws, lambda w: {_r(_REL.format('w'))}) AS r FROM gr JOIN tr USING (document_id)),
     fo AS (SELECT g, document_id, anc, kids, r, list_transform(r, lambda x: 0) AS n, list_transform(r, lambda x: 0.0::DOUBLE) AS w, 1 AS c, 0 AS depth, 0 AS steps, false AS done FROM st
         UNION ALL
         SELECT g, document_id, anc, kids, r,
@@ -201,7 +206,7 @@ def _fold(groups: str) -> str:
             FROM (SELECT *, list_filter(kids[c], lambda k: n[k] = 0) AS fresh FROM fo WHERE NOT done AND steps < {k}))))
     , en AS (SELECT * FROM fo WHERE (done OR steps = {k}) AND c = 1 AND depth = 0),
     vi AS (SELECT g, document_id, a, n[a] AS visits, w[a] AS reward FROM (SELECT g, document_id, n, w, unnest(range(1, len(n) + 1)) AS a FROM en) WHERE n[a] > 0),
-    rk AS (SELECT vi.g, vi.document_id, pl.node_id, vi.a, visits, start_page, end_page, round(reward / visits, 6) AS mean, round(reward / visits * ln(visits + 1), 6) AS rank_score FROM vi JOIN pl USING (document_id, a)),
+    rk AS (SELECT vi.g, vi.document_id, pl.node_id, vi.a, visits, start_page, end_page, {_r('reward / visits')} AS mean, {_r('reward / visits * ln(visits + 1)')} AS rank_score FROM vi JOIN pl USING (document_id, a)),
     od AS (SELECT *, row_number() OVER (PARTITION BY g, document_id ORDER BY rank_score DESC, a) AS i FROM rk),
     gd AS (SELECT g, document_id, list({{'node_id': node_id, 's': start_page, 'e': end_page, 'mean': mean}} ORDER BY i) AS f FROM od GROUP BY ALL),
     tk AS (SELECT g, document_id, f, 1 AS i, [] :: STRUCT(node_id VARCHAR, s INTEGER, e INTEGER, mean DOUBLE)[] AS got FROM gd
@@ -211,21 +216,21 @@ def _fold(groups: str) -> str:
 
 _BYDOC = f"{_NODEWORDS}, {_CLOSURE}, {_fold('SELECT document_id AS g, document_id, qw FROM de')}"
 _BYQ = f"{_NODEWORDS}, {_CLOSURE}, {_ASKED}, {_fold('SELECT DISTINCT top.query_id AS g, top.document_id, qs.qw FROM top JOIN qs USING (query_id)')}"
-_BANDIT = f"""WITH RECURSIVE {_ASKED}, ar AS (SELECT query_id, list({{'e': entry_id, 's': round(score, 6)}} ORDER BY ord, entry_id) AS arms FROM sc JOIN f15 USING (entry_id) GROUP BY query_id),
+_BANDIT = f"""WITH RECURSIVE {_ASKED}, ar AS (SELECT query_id, list({{'e': entry_id, 's': {_r('score')}}} ORDER BY ord, entry_id) AS arms FROM sc JOIN f15 USING (entry_id) GROUP BY query_id),
     bd AS (SELECT query_id, arms, list_transform(arms, lambda x: 0) AS n, 0 AS t FROM ar
         UNION ALL SELECT query_id, arms, list_transform(n, lambda x, j: CASE WHEN j = list_position(b, list_max(b)) THEN x + 1 ELSE x END), t + 1
         FROM (SELECT *, list_transform(n, lambda x, j: CASE WHEN x = 0 THEN 'infinity'::DOUBLE ELSE arms[j].s + {scoring.EXPLORATION} * sqrt(ln(greatest(t, 1)) / greatest(x, 1)) END) AS b FROM bd WHERE t < least({search.META_ITERATIONS}, len(arms) * 5)))
     SELECT query_id, arms[j].e AS entry_id, n[j] AS visits FROM (SELECT *, unnest(range(1, len(n) + 1)) AS j FROM bd WHERE t = least({search.META_ITERATIONS}, len(arms) * 5)) WHERE n[j] > 0"""
 
 SQL = {
-    "doc_scores": f"WITH {_ASKED} SELECT query_id, entry_id, round(score, 6) AS score FROM sc",
-    "phase1_topk": f"WITH {_ASKED} SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, entry_id, round(score, 6) AS score FROM top",
-    "phase1_topk_full": f"""WITH {_ASKED} SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, entry_id, round(score, 6) AS score
+    "doc_scores": f"WITH {_ASKED} SELECT query_id, entry_id, {_r('score')} AS score FROM sc",
+    "phase1_topk": f"WITH {_ASKED} SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, entry_id, {_r('score')} AS score FROM top",
+    "phase1_topk_full": f"""WITH {_ASKED} SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, entry_id, {_r('score')} AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, entry_id) AS rank_no FROM sc) WHERE rank_no <= {search.TOP_DOCUMENTS}""",
     "bandit_visits": _BANDIT,
     "node_scores": f"{_NS} SELECT document_id, node_id, score FROM ns",
-    "backprop": f"{_BP} SELECT document_id, node_id, visits, round(reward, 4) AS reward FROM bp",
-    "ucb1_scores": f"""{_BP} SELECT b.document_id, b.node_id, b.visits, round(CASE WHEN p.visits IS NULL THEN b.reward / b.visits ELSE b.reward / b.visits + {scoring.EXPLORATION} * sqrt(ln(p.visits) / b.visits) END, 4) AS ucb1
+    "backprop": f"{_BP} SELECT document_id, node_id, visits, reward_micro FROM bp",
+    "ucb1_scores": f"""{_BP} SELECT b.document_id, b.node_id, b.visits, {_r(f'CASE WHEN p.visits IS NULL THEN b.reward_micro / 1e6 / b.visits ELSE b.reward_micro / 1e6 / b.visits + {scoring.EXPLORATION} * sqrt(ln(p.visits) / b.visits) END', '1e4')} AS ucb1
         FROM bp b JOIN cur c ON c.document_id = b.document_id AND c.node_id = b.node_id LEFT JOIN bp p ON p.document_id = b.document_id AND p.node_id = c.parent_id""",
     "mcts_visits": f"{_BYDOC} SELECT document_id, node_id, CAST(visits AS INTEGER) AS visits, mean FROM rk",
     "early_stop": f"{_BYDOC} SELECT document_id, CAST(steps AS INTEGER) AS steps, done AS stopped_early FROM en",

@@ -95,7 +95,7 @@ _NODES = """
 _PAGES = "CASE WHEN start_page = end_page THEN 'p.' || (start_page + 1) ELSE 'pp.' || (start_page + 1) || '-' || (end_page + 1) END"
 _DOCS = "docs AS (SELECT document_id, max(total_pages) AS n FROM doc_index WHERE total_pages > 0 GROUP BY document_id)"
 _COVER = f"""{_NODES}, {_DOCS}, pg AS (SELECT DISTINCT document_id, unnest(range(start_page, end_page + 1)) AS page FROM cur WHERE level >= 1 AND start_page <= end_page),
-    cov AS (SELECT d.document_id, d.n AS total_pages, count(pg.page) AS covered, round(count(pg.page) / d.n, 6) AS ratio FROM docs d LEFT JOIN pg USING (document_id) GROUP BY d.document_id, d.n)"""
+    cov AS (SELECT d.document_id, d.n AS total_pages, count(pg.page) AS covered, floor(count(pg.page) / d.n * 1e6 + 0.5) / 1e6 AS ratio FROM docs d LEFT JOIN pg USING (document_id) GROUP BY d.document_id, d.n)"""
 
 
 def _nested_sql(deepest: int = 20) -> str:
