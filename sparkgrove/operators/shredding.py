@@ -10,6 +10,7 @@ one parent is inlined, its scalar fields becoming columns of the parent's table.
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ class Shape:
     roots: names of fields that hold the tree of a record; wrappers: fields that a record may lie under;
     node: the element type of roots and children; children: the field that repeats it; leaves: fields that
     hold lists of terms; term: the field of a term stored as an object; known: fields by which an object is
-    told from a map of objects; sign: what separates terms in one string.
+    told from a map of objects; sign: pattern of what separates terms in one string.
     """
 
     roots: tuple[str, ...] = ("tree", "root")
@@ -39,7 +40,7 @@ class Shape:
     leaves: tuple[str, ...] = ("keywords",)
     term: str = "term"
     known: frozenset[str] = field(default_factory=lambda: frozenset({"node_id", "title", "summary", "keywords", "start_page", "end_page", "level", "children"}))
-    sign: str = ","
+    sign: str = r"[,;|\n]"
 
 
 def _text(value: object) -> str:
@@ -49,7 +50,7 @@ def _text(value: object) -> str:
 def _terms(value: object, shape: Shape) -> Iterator[str]:
     """The terms that are not blank, trimmed, whatever holds them."""
     if isinstance(value, str):
-        yield from (t.strip() for t in value.split(shape.sign) if t.strip())
+        yield from (t.strip() for t in re.split(shape.sign, value) if t.strip())
     elif isinstance(value, dict) and shape.term not in value:
         yield from (k.strip() for k in value if k.strip())
     else:

@@ -15,14 +15,14 @@ def test_shapes_of_children_and_keywords(spark):
     kid = {"node_id": "1", "title": "b"}
     raws = [
         json.dumps({"tree": NODE | {"children": [None, kid, {}, kid]}}),
-        json.dumps({"root": NODE | {"children": {"k1": kid, "k0": kid}, "keywords": "p, q"}}),
+        json.dumps({"root": NODE | {"children": {"k1": kid, "k0": kid}, "keywords": "p, q; r s;"}}),
         json.dumps([{"index": {"tree": NODE | {"children": kid, "keywords": [["a"], ["b", "c"]]}}, "format": 2}]),
         "﻿" + json.dumps(json.dumps({"tree": {"title": "no id", "keywords": [{"term": "t, u", "weight": 1}]}})),
     ]
     nodes = {(i, p, pp) for i, k, p, pp, _ in found(spark, raws) if k == "node"}
     assert nodes == {(0, "0", ""), (0, "0/0", "0"), (0, "0/1", "0"), (1, "0", ""), (1, "0/0", "0"), (1, "0/1", "0"), (2, "0", ""), (2, "0/0", "0"), (3, "0", "")}
     terms = {(i, p, v) for i, k, p, _, v in found(spark, raws) if k == "keywords"}
-    assert terms == {(0, "0/k0", "x"), (0, "0/k1", "y"), (1, "0/k0", "p"), (1, "0/k1", "q"), (2, "0/k0", "a"), (2, "0/k1", "b"), (2, "0/k2", "c"), (3, "0/k0", "t, u")}
+    assert terms == {(0, "0/k0", "x"), (0, "0/k1", "y"), (1, "0/k0", "p"), (1, "0/k1", "q"), (1, "0/k2", "r s"), (2, "0/k0", "a"), (2, "0/k1", "b"), (2, "0/k2", "c"), (3, "0/k0", "t, u")}
 
 
 def test_unreadable_records_give_no_rows(spark):
