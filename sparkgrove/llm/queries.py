@@ -47,9 +47,10 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = t.load_once(spark, sf_dir, "documents", "text", "source")
+    docs = t.load(spark, sf_dir, "documents").filter("doc_id is not null")
     counts = tokenizing.encode_column(docs.select(F.struct("doc_id", "source").alias("row"), "text"), "row", "text", count_only=True)
-    sized = materialize(counts.select("row.doc_id", "row.source", "n_tokens"), "sizes")
+    # counted before repeated rows are dropped, so that no text is shuffled
+    sized = materialize(counts.select("row.doc_id", "row.source", "n_tokens").dropDuplicates(["doc_id"]), "sizes")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     plan = mixing.allot(t.load_once(spark, sf_dir, "mix_targets", "weight", "max_repeats", "size_ratio"), sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), total)
     return mixing.sample(sized, plan, seed=42), plan
@@ -68,7 +69,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spam pages among the documents."""
-    return spam.spam_pages(t.load_once(spark, sf_dir, "documents", "text", "source")).filter("spam").select("doc_id")
+    return spam.spam_pages(t.load(spark, sf_dir, "documents").select("doc_id", "text", "source")).filter("spam").select("doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}

@@ -152,16 +152,16 @@ def shingles(text: Column) -> Column:
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """(key, list_share, stitched_share, spam) of every page with text.
 
-    ``docs`` has one row per key. Null, empty and blank texts give no row; a null host counts as one host of its own. Copies are judged
-    one by one. Shingles are counted over all pages, per (shingle, host) before the shuffle, so that a phrase or host
+    Repeated rows of a key count once, rows with a null key are left out; null, empty and blank texts give no row; a null host counts as
+    one host of its own. Copies under other keys are judged one by one. Texts are never shuffled, but for pages that are mostly list. Shingles are counted over all pages, per (shingle, host) before the shuffle, so that a phrase or host
     that holds a third of all rows arrives as one row a task; only the shingles of pages that are mostly list are joined
     back to their counts.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
-    lists = materialize(with_list_share(docs, "key", "text").filter("total > 0"), "lists")
-    phrases = docs.filter("text is not null").select("key", "host", F.explode(shingles(F.col("text"))).alias("shingle"))
+    docs = docs.dropna(subset=[key]).select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    lists = materialize(with_list_share(docs, "key", "text").filter("total > 0").dropDuplicates(["key"]), "lists")
+    phrases = docs.filter("text is not null").select("host", F.explode(shingles(F.col("text"))).alias("shingle"))
     dense = lists.filter(F.col("listed") > LISTED * F.col("total")).select("key")
-    listed = docs.join(dense, "key", "left_semi").select("key", F.explode(shingles(F.col("text"))).alias("shingle"))
+    listed = docs.join(dense, "key", "left_semi").dropDuplicates(["key"]).select("key", F.explode(shingles(F.col("text"))).alias("shingle"))
     mine = materialize(listed.groupBy("key", "shingle").agg(F.count("*").alias("times")), "mine")
     spread = phrases.select("shingle", "host").distinct().groupBy("shingle").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
     joined = mine.join(spread, "shingle", "left")
