@@ -149,12 +149,16 @@ class HistoryIndex:
         return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{table}").filter(F.col("bucket").isin(buckets))
 
     def probe(self, batch: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """(entry_id, accepted_id) of each entry of the batch that repeats an accepted one; the first such entry."""
+        """(entry_id, accepted_id) of each entry of the batch that repeats an accepted one; the first such entry.
+
+        Only the partitions of the index that hold a token or hash of the batch are read.
+        """
         hashed = batch.filter("hash_key is not null").select("entry_id", "hash_key", F.pmod(F.xxhash64("hash_key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        buckets = [r.bucket for r in hashed.select("bucket").distinct().collect()]  # at most BUCKETS
-        by_hash = hashed.drop("bucket").join(self._read("hashes", "hash_key string, entry_id long", buckets).select("hash_key", F.col("entry_id").alias("accepted_id")), "hash_key").select("entry_id", "accepted_id")
-        buckets = [r.bucket for r in prefixes.select("bucket").distinct().collect()]
-        postings = self._read("postings", "token long, name_key string, words array<string>, entry_id long", buckets)
+        asked = hashed.select("bucket", F.lit("hashes").alias("table")).unionByName(prefixes.select("bucket", F.lit("postings").alias("table"))).distinct().collect()  # at most twice BUCKETS
+        buckets = {name: [r.bucket for r in asked if r.table == name] for name in ("hashes", "postings")}
+        known = self._read("hashes", "hash_key string, entry_id long", buckets["hashes"]).select("hash_key", F.col("entry_id").alias("accepted_id"))
+        by_hash = hashed.drop("bucket").join(known, "hash_key").select("entry_id", "accepted_id")
+        postings = self._read("postings", "token long, name_key string, words array<string>, entry_id long", buckets["postings"])
         names = prefixes.select("token", "name_key", "words").join(postings.select("token", F.col("words").alias("other"), F.col("entry_id").alias("accepted_id")), "token")
         names = names.filter(same_words(F.col("words"), F.col("other"))).groupBy("name_key").agg(F.min("accepted_id").alias("accepted_id"))
         by_name = batch.select("entry_id", "name_key").join(names, "name_key").select("entry_id", "accepted_id")
@@ -166,33 +170,33 @@ class HistoryIndex:
         Entries are judged in order of entry_id: one that is the same file as an accepted one before it is not accepted.
         Entries of the batch depend on each other only through common keys (a hash, a name, a similar name), so all
         whose earlier relations are decided are decided together; the rounds are as many as the longest chain of
-        undecided entries. Relations are summed up per key, never listed pair by pair.
+        undecided entries. Relations are summed up per key, never listed pair by pair. What is used again within the batch is
+        persisted, and computed again where an executor is lost; what outlives it is written.
         """
-        batch = materialize(batch, "batch")
-        prefixes = materialize(self.prefixes(batch), "prefixes")
+        held = [prefixes := self.prefixes(batch).persist()]
         known = materialize(self.probe(batch, prefixes), "known")
         fresh = batch.join(known, "entry_id", "left_anti").select("entry_id", "hash_key", "name_key")
         a, b = prefixes.alias("a"), prefixes.alias("b")
         similar = a.join(b, F.expr("a.token = b.token and a.name_key != b.name_key")).filter(same_words(F.col("a.words"), F.col("b.words"))).select(F.col("a.name_key").alias("name_key"), F.col("b.name_key").alias("other")).distinct()
         own = fresh.select("entry_id", F.explode(F.array_compact(F.array("hash_key", "name_key"))).alias("key"))
-        own = materialize(own, "own-keys")
-        asked = materialize(own.unionByName(fresh.join(similar, "name_key").select("entry_id", F.col("other").alias("key"))).distinct(), "asked-keys")
-        state = materialize(fresh.select("entry_id", F.lit(None).cast("boolean").alias("accepted")), "state")
+        asked = own.unionByName(fresh.join(similar, "name_key").select("entry_id", F.col("other").alias("key"))).distinct()
+        held += [own := own.persist(), asked := asked.persist()]
+        state = fresh.select("entry_id", F.lit(None).cast("boolean").alias("accepted"))
         while True:
             first = own.join(state, "entry_id").filter("accepted is null or accepted").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("entry_id"))).alias("taken"), F.min(F.when(F.col("accepted").isNull(), F.col("entry_id"))).alias("open"))
             around = asked.join(first, "key").groupBy("entry_id").agg(F.min("taken").alias("taken"), F.min("open").alias("open"))
-            joined = state.join(around, "entry_id", "left")
             verdict = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("taken") < F.col("entry_id"), False).when(F.coalesce(F.col("open") >= F.col("entry_id"), F.lit(True)), True)
-            state = materialize(joined.select("entry_id", verdict.alias("accepted"), "taken"), "state")
+            held.append(state := state.join(around, "entry_id", "left").select("entry_id", verdict.alias("accepted")).persist())
             if state.filter("accepted is null").isEmpty():
                 break
-            state = state.select("entry_id", "accepted")
         accepted = batch.join(state.filter("accepted").select("entry_id"), "entry_id", "left_semi")
         # what repeats an entry of this batch, now that all of them are decided
         first = own.join(state.filter("accepted").select("entry_id"), "entry_id").groupBy("key").agg(F.min("entry_id").alias("accepted_id"))
         inside = asked.join(first, "key").join(state.filter("not accepted").select("entry_id"), "entry_id", "left_semi").groupBy("entry_id").agg(F.min("accepted_id").alias("accepted_id"))
         found = materialize(known.unionByName(inside), "repeats")
         self.append(accepted)
+        for df in held:
+            df.unpersist()
         return found
 
 
