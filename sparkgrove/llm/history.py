@@ -117,52 +117,49 @@ def same_words(a: Column, b: Column) -> Column:
 class HistoryIndex:
     """The accepted entries as a rare-token index in the shared folder of the cluster."""
 
+    SCHEMA = "token long, key string, words array<string>, entry_id long, bucket int"
+
     def __init__(self, history: DataFrame):
         """``history`` holds canonical entries that are accepted whole; it is read once."""
         self.spark: SparkSession = history.sparkSession
         self.path = new_table_path(self.spark, "history-index")
         words = history.filter("name_key is not null").select(F.explode("words").alias("word"))
         words.groupBy("word").agg(F.count("*").alias("rarity")).write.parquet(f"{self.path}/words")
-        self.append(history)
+        self._write(self.postings(history))
+
+    def postings(self, entries: DataFrame) -> DataFrame:
+        """What the index holds of entries: token, key, words, entry_id (the first that has the key), bucket.
 
-    def prefixes(self, entries: DataFrame) -> DataFrame:
-        """The rarest tokens of each distinct name: bucket, token, name_key, words, entry_id (the first that has the name)."""
+        A hash is one token; of each distinct name there are the rarest tokens.
+        """
         names = entries.filter("name_key is not null").groupBy("name_key").agg(F.min("entry_id").alias("entry_id"), F.first("place").alias("place"), F.first("words").alias("words"))
-        frame = F.xxhash64("place", F.size("words"), F.array_join(F.filter("words", _numeric), " "))
-        names = names.withColumn("frame", frame)
+        names = names.withColumn("frame", F.xxhash64("place", F.size("words"), F.array_join(F.filter("words", _numeric), " ")))
         order = self.spark.read.schema("word string, rarity long").parquet(f"{self.path}/words")
         tokens = names.select("name_key", "frame", F.explode(F.array_distinct(F.filter("words", lambda w: ~_numeric(w)))).alias("word")).join(order, "word", "left")
         tokens = tokens.select("name_key", F.coalesce("rarity", F.lit(0)).alias("rarity"), F.xxhash64("frame", "word").alias("token"))
         # the frame itself is the most common token; names of few words may share nothing else
         tokens = tokens.unionByName(names.select("name_key", F.lit(2**62).alias("rarity"), F.col("frame").alias("token")))
         rarest = tokens.groupBy("name_key").agg(F.slice(F.array_sort(F.collect_list(F.struct("rarity", "token"))), 1, SLIPS + 1).alias("rarest"))
-        found = rarest.select("name_key", F.explode("rarest.token").alias("token")).join(names, "name_key")
-        return found.select("token", "name_key", "words", "entry_id", F.pmod("token", F.lit(BUCKETS)).cast("int").alias("bucket"))
-
-    def append(self, accepted: DataFrame) -> None:
-        """Adds accepted entries: postings of names and first entries of hashes."""
-        self.prefixes(accepted).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        hashes = accepted.filter("hash_key is not null").groupBy("hash_key").agg(F.min("entry_id").alias("entry_id"))
-        hashes.withColumn("bucket", F.pmod(F.xxhash64("hash_key"), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/hashes")
+        named = rarest.select("name_key", F.explode("rarest.token").alias("token")).join(names, "name_key").select("token", F.col("name_key").alias("key"), "words", "entry_id")
+        hashed = entries.filter("hash_key is not null").groupBy(F.col("hash_key").alias("key")).agg(F.min("entry_id").alias("entry_id"))
+        hashed = hashed.select(F.xxhash64("key").alias("token"), "key", F.lit(None).cast("array<string>").alias("words"), "entry_id")
+        return named.unionByName(hashed).withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
 
-    def _read(self, table: str, schema: str, buckets: list[int]) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{table}").filter(F.col("bucket").isin(buckets))
+    def _write(self, postings: DataFrame) -> None:
+        postings.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
 
-    def probe(self, batch: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """(entry_id, accepted_id) of each entry of the batch that repeats an accepted one; the first such entry.
+    def probe(self, own: DataFrame, postings: DataFrame) -> DataFrame:
+        """(entry_id, accepted_id) of each entry of a batch that repeats an accepted one; the first such entry.
 
-        Only the partitions of the index that hold a token or hash of the batch are read.
+        ``own`` has (entry_id, key) of the batch, ``postings`` what the index would hold of it. Only the partitions of the index
+        that hold a token of the batch are read.
         """
-        hashed = batch.filter("hash_key is not null").select("entry_id", "hash_key", F.pmod(F.xxhash64("hash_key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        asked = hashed.select("bucket", F.lit("hashes").alias("table")).unionByName(prefixes.select("bucket", F.lit("postings").alias("table"))).distinct().collect()  # at most twice BUCKETS
-        buckets = {name: [r.bucket for r in asked if r.table == name] for name in ("hashes", "postings")}
-        known = self._read("hashes", "hash_key string, entry_id long", buckets["hashes"]).select("hash_key", F.col("entry_id").alias("accepted_id"))
-        by_hash = hashed.drop("bucket").join(known, "hash_key").select("entry_id", "accepted_id")
-        postings = self._read("postings", "token long, name_key string, words array<string>, entry_id long", buckets["postings"])
-        names = prefixes.select("token", "name_key", "words").join(postings.select("token", F.col("words").alias("other"), F.col("entry_id").alias("accepted_id")), "token")
-        names = names.filter(same_words(F.col("words"), F.col("other"))).groupBy("name_key").agg(F.min("accepted_id").alias("accepted_id"))
-        by_name = batch.select("entry_id", "name_key").join(names, "name_key").select("entry_id", "accepted_id")
-        return by_hash.unionByName(by_name).groupBy("entry_id").agg(F.min("accepted_id").alias("accepted_id"))
+        buckets = [r.bucket for r in postings.select("bucket").distinct().collect()]  # at most BUCKETS
+        held = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets))
+        held = held.select("token", F.col("key").alias("other_key"), F.col("words").alias("other"), F.col("entry_id").alias("accepted_id"))
+        same = F.when(F.col("words").isNull(), F.col("key") == F.col("other_key")).otherwise(same_words(F.col("words"), F.col("other")))
+        keys = postings.select("token", "key", "words").join(held, "token").filter(same).groupBy("key").agg(F.min("accepted_id").alias("accepted_id"))
+        return own.join(keys, "key").groupBy("entry_id").agg(F.min("accepted_id").alias("accepted_id"))
 
     def judge(self, batch: DataFrame) -> DataFrame:
         """Decides a batch, appends what is accepted and returns (entry_id, accepted_id) of what repeats.
@@ -173,14 +170,15 @@ class HistoryIndex:
         undecided entries. Relations are summed up per key, never listed pair by pair. What is used again within the batch is
         persisted, and computed again where an executor is lost; what outlives it is written.
         """
-        held = [prefixes := self.prefixes(batch).persist()]
-        known = materialize(self.probe(batch, prefixes), "known")
-        fresh = batch.join(known, "entry_id", "left_anti").select("entry_id", "hash_key", "name_key")
-        a, b = prefixes.alias("a"), prefixes.alias("b")
-        similar = a.join(b, F.expr("a.token = b.token and a.name_key != b.name_key")).filter(same_words(F.col("a.words"), F.col("b.words"))).select(F.col("a.name_key").alias("name_key"), F.col("b.name_key").alias("other")).distinct()
-        own = fresh.select("entry_id", F.explode(F.array_compact(F.array("hash_key", "name_key"))).alias("key"))
-        asked = own.unionByName(fresh.join(similar, "name_key").select("entry_id", F.col("other").alias("key"))).distinct()
-        held += [own := own.persist(), asked := asked.persist()]
+        batch_keys = batch.select("entry_id", F.explode(F.array_compact(F.array("hash_key", "name_key"))).alias("key"))
+        held = [postings := self.postings(batch).persist()]
+        known = materialize(self.probe(batch_keys, postings), "known")
+        fresh = batch.join(known, "entry_id", "left_anti").select("entry_id")
+        a, b = postings.filter("words is not null").alias("a"), postings.filter("words is not null").alias("b")
+        similar = a.join(b, F.expr("a.token = b.token and a.key != b.key")).filter(same_words(F.col("a.words"), F.col("b.words"))).select(F.col("a.key").alias("key"), F.col("b.key").alias("other")).distinct()
+        own = batch_keys.join(known, "entry_id", "left_anti")
+        held.append(own := own.persist())
+        held.append(asked := own.unionByName(own.join(similar, "key").select("entry_id", F.col("other").alias("key"))).distinct().persist())
         state = fresh.select("entry_id", F.lit(None).cast("boolean").alias("accepted"))
         while True:
             first = own.join(state, "entry_id").filter("accepted is null or accepted").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("entry_id"))).alias("taken"), F.min(F.when(F.col("accepted").isNull(), F.col("entry_id"))).alias("open"))
@@ -189,12 +187,12 @@ class HistoryIndex:
             held.append(state := state.join(around, "entry_id", "left").select("entry_id", verdict.alias("accepted")).persist())
             if state.filter("accepted is null").isEmpty():
                 break
-        accepted = batch.join(state.filter("accepted").select("entry_id"), "entry_id", "left_semi")
-        # what repeats an entry of this batch, now that all of them are decided
+        # the first accepted entry of each key, now that all are decided: what others of the batch repeat, and what is appended
         first = own.join(state.filter("accepted").select("entry_id"), "entry_id").groupBy("key").agg(F.min("entry_id").alias("accepted_id"))
+        held.append(first := first.persist())
         inside = asked.join(first, "key").join(state.filter("not accepted").select("entry_id"), "entry_id", "left_semi").groupBy("entry_id").agg(F.min("accepted_id").alias("accepted_id"))
         found = materialize(known.unionByName(inside), "repeats")
-        self.append(accepted)
+        self._write(postings.drop("entry_id").join(first, "key").select("token", "key", "words", F.col("accepted_id").alias("entry_id"), "bucket"))
         for df in held:
             df.unpersist()
         return found
