@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkgrove.session import materialize
+
 #: Parts into which the documents of a source are divided by their seeded hash.
 BUCKETS = 4096
 #: Rows of targets up to which the plan of a mix is broadcast.
@@ -58,32 +60,53 @@ def allot(targets: DataFrame, sizes: DataFrame, total: int | float) -> DataFrame
     return rows.select("mix_name", "source", "weight", "max_repeats", "tokens", "wanted", "allotted", "clamped", "whole", F.greatest(F.col("allotted") - F.col("whole") * F.col("tokens"), F.lit(0.0)).alias("budget"))
 
 
+def _fitting(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``fits``: whether the tokens of the rows of a key up to this one, in the order of ``_order``, are within ``budget``.
+
+    The running sum goes over 4096 parts of a key and then inside the one part where the budget ends: no window holds a whole key.
+    """
+    rows = rows.withColumn("_part", F.pmod("_order", F.lit(BUCKETS)).cast("int"))
+    parts = rows.groupBy(*key, "_part").agg(F.sum("n_tokens").alias("_size"))
+    parts = parts.withColumn("_before", F.sum("_size").over(W.partitionBy(*key).orderBy("_part")) - F.col("_size"))
+    rows = rows.join(parts, [*key, "_part"])
+    ends_here = (F.col("_before") <= F.col("budget")) & (F.col("_before") + F.col("_size") > F.col("budget"))
+    running = F.sum("n_tokens").over(W.partitionBy(*key, "_part").orderBy("_order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    inside = rows.filter(ends_here).withColumn("fits", F.col("_before") + running <= F.col("budget"))
+    outside = rows.filter(~ends_here).withColumn("fits", F.col("_before") + F.col("_size") <= F.col("budget"))
+    return inside.unionByName(outside).drop("_part", "_size", "_before")
+
+
 def sample(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of each mix: mix_name, source, doc_id, n_tokens, repeats (at least 1).
 
     ``docs``: doc_id, source, n_tokens, one row per document; ``plan``: what ``allot`` gives. Beyond the whole
-    repetitions a document is taken once more if the middle of its tokens, in the order of a seeded hash, lies within the
-    budget, so that the part taken misses the budget by half a document at most. The running sum goes over
-    4096 parts of a source and then inside the one part where the budget ends: no window holds a whole source.
-    Documents with a null source, or one that the plan lacks, are in no mix. The same seed gives the same mix.
+    repetitions documents are taken once more in the order of a seeded hash as long as they fit the budget, then, of those
+    that are short enough for what is left, again as long as they fit; then the one document that brings the sum nearest to the
+    budget is added, if any does. Documents with a null source, or one that the plan lacks, are in no mix. The same seed
+    gives the same mix.
     """
     plan = plan.filter("whole > 0 or budget > 0").select("mix_name", "source", "whole", "budget", "max_repeats")
     plan = F.broadcast(plan) if plan.count() <= SMALL else plan
-    rows = docs.select("doc_id", "source", "n_tokens").join(plan, "source")
-    rows = rows.withColumn("_order", F.xxhash64("doc_id", "mix_name", F.lit(seed))).withColumn("_part", F.pmod("_order", F.lit(BUCKETS)).cast("int"))
     key = ["mix_name", "source"]
-    parts = rows.groupBy(*key, "_part").agg(F.sum("n_tokens").alias("_size"))
-    parts = parts.withColumn("_before", F.sum("_size").over(W.partitionBy(*key).orderBy("_part")) - F.col("_size")).select(*key, "_part", "_before", "_size")
-    rows = rows.join(parts, [*key, "_part"])
-    ends_here = (F.col("_before") <= F.col("budget")) & (F.col("_before") + F.col("_size") > F.col("budget"))
-    columns = [*key, "doc_id", "n_tokens", "whole", "max_repeats"]
-    inside = rows.filter(ends_here)
-    running = F.sum("n_tokens").over(W.partitionBy(*key, "_part").orderBy("_order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    inside = inside.select(*columns, ((F.col("_before") + running - F.col("n_tokens") / 2) <= F.col("budget")).alias("_more"))
-    outside = rows.filter(~ends_here).select(*columns, (F.col("_before") + F.col("_size") <= F.col("budget")).alias("_more"))
-    both = inside.unionByName(outside)
-    repeats = F.least(F.col("whole") + F.col("_more").cast("int"), F.col("max_repeats"))
-    return both.select(*key, "doc_id", "n_tokens", repeats.cast("int").alias("repeats")).filter("repeats > 0")
+    rows = docs.select("doc_id", "source", "n_tokens").join(plan, "source").withColumn("_order", F.xxhash64("doc_id", "mix_name", F.lit(seed)))
+    rows = materialize(_fitting(rows, key), "fitting")
+
+    def gaps(chosen: DataFrame) -> DataFrame:
+        """What is left of each budget."""
+        left = F.max("budget") - F.sum(F.when(F.col("fits"), F.col("n_tokens")).otherwise(0))
+        return chosen.groupBy(*key).agg(left.alias("gap"))
+
+    rest = rows.filter("not fits and n_tokens > 0 and whole < max_repeats").join(gaps(rows), key)
+    second = _fitting(rest.filter("n_tokens <= gap").withColumn("budget", F.col("gap")).drop("fits", "gap"), key).filter("fits")
+    second = materialize(second.select(*key, "doc_id", "n_tokens"), "second")
+    filled = second.groupBy(*key).agg(F.sum("n_tokens").alias("filled"))
+    # an untaken document shorter than twice what is left brings the sum nearer
+    last = rest.join(second.select(*key, "doc_id"), [*key, "doc_id"], "left_anti").join(filled, key, "left").withColumn("gap", F.col("gap") - F.coalesce("filled", F.lit(0)))
+    last = last.filter("n_tokens < 2 * gap").groupBy(*key).agg(F.min(F.struct(F.abs(F.col("gap") - F.col("n_tokens")).alias("miss"), "_order", "doc_id"))["doc_id"].alias("doc_id"))
+    more = second.select(*key, "doc_id").unionByName(last).withColumn("also", F.lit(1))
+    rows = rows.join(more, [*key, "doc_id"], "left")
+    repeats = F.least(F.col("whole") + F.greatest(F.col("fits").cast("int"), F.coalesce("also", F.lit(0))), F.col("max_repeats"))
+    return rows.select(*key, "doc_id", "n_tokens", repeats.cast("int").alias("repeats")).filter("repeats > 0")
 
 
 def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def test_selection_keeps_caps_and_meets_budgets(spark):
     assert all(1 <= r.repeats <= caps[r.mix_name, r.source] for r in rows)
     for r in m.shares(chosen, plan).collect():
         want = r.allotted_share
-        assert abs(r.actual_share - want) < 0.002, r
+        assert abs(r.actual_share - want) < 0.0001, r
     assert sorted(map(tuple, rows)) == sorted(map(tuple, m.sample(frame, plan, seed=3).collect()))
     assert set(map(tuple, rows)) != set(map(tuple, m.sample(frame, plan, seed=4).collect()))
 
