@@ -167,34 +167,29 @@ class HistoryIndex:
         Entries are judged in order of entry_id: one that is the same file as an accepted one before it is not accepted.
         Entries of the batch depend on each other only through common keys (a hash, a name, a similar name), so all
         whose earlier relations are decided are decided together; the rounds are as many as the longest chain of
-        undecided entries. Relations are summed up per key, never listed pair by pair. What is used again within the batch is
-        persisted, and computed again where an executor is lost; what outlives it is written.
+        undecided entries. Relations are summed up per key, never listed pair by pair.
         """
         batch_keys = batch.select("entry_id", F.explode(F.array_compact(F.array("hash_key", "name_key"))).alias("key"))
-        held = [postings := self.postings(batch).persist()]
+        postings = materialize(self.postings(batch), "postings")
         known = materialize(self.probe(batch_keys, postings), "known")
         fresh = batch.join(known, "entry_id", "left_anti").select("entry_id")
         a, b = postings.filter("words is not null").alias("a"), postings.filter("words is not null").alias("b")
         similar = a.join(b, F.expr("a.token = b.token and a.key != b.key")).filter(same_words(F.col("a.words"), F.col("b.words"))).select(F.col("a.key").alias("key"), F.col("b.key").alias("other")).distinct()
-        own = batch_keys.join(known, "entry_id", "left_anti")
-        held.append(own := own.persist())
-        held.append(asked := own.unionByName(own.join(similar, "key").select("entry_id", F.col("other").alias("key"))).distinct().persist())
+        own = materialize(batch_keys.join(known, "entry_id", "left_anti"), "own-keys")
+        asked = materialize(own.unionByName(own.join(similar, "key").select("entry_id", F.col("other").alias("key"))).distinct(), "asked-keys")
         state = fresh.select("entry_id", F.lit(None).cast("boolean").alias("accepted"))
         while True:
             first = own.join(state, "entry_id").filter("accepted is null or accepted").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("entry_id"))).alias("taken"), F.min(F.when(F.col("accepted").isNull(), F.col("entry_id"))).alias("open"))
             around = asked.join(first, "key").groupBy("entry_id").agg(F.min("taken").alias("taken"), F.min("open").alias("open"))
             verdict = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("taken") < F.col("entry_id"), False).when(F.coalesce(F.col("open") >= F.col("entry_id"), F.lit(True)), True)
-            held.append(state := state.join(around, "entry_id", "left").select("entry_id", verdict.alias("accepted")).persist())
+            state = materialize(state.join(around, "entry_id", "left").select("entry_id", verdict.alias("accepted")), "state")
             if state.filter("accepted is null").isEmpty():
                 break
         # the first accepted entry of each key, now that all are decided: what others of the batch repeat, and what is appended
         first = own.join(state.filter("accepted").select("entry_id"), "entry_id").groupBy("key").agg(F.min("entry_id").alias("accepted_id"))
-        held.append(first := first.persist())
         inside = asked.join(first, "key").join(state.filter("not accepted").select("entry_id"), "entry_id", "left_semi").groupBy("entry_id").agg(F.min("accepted_id").alias("accepted_id"))
         found = materialize(known.unionByName(inside), "repeats")
         self._write(postings.drop("entry_id").join(first, "key").select("token", "key", "words", F.col("accepted_id").alias("entry_id"), "bucket"))
-        for df in held:
-            df.unpersist()
         return found
 
 
