@@ -27,6 +27,8 @@ from sparkgrove.session import materialize, new_table_path
 #: Words of a name that may be misspelt.
 SLIPS = 2
 BUCKETS = 32
+#: Postings of a batch (8 bytes a token) up to which its tokens are broadcast; a larger one is joined by shuffling.
+SMALL = 1_000_000
 #: Where the share may be mounted; what follows is the place.
 MOUNTS = (r"//filer\.test/share/", r"/(?:mnt|volumes)/share/", r"/srv/docs/", r"/data/incoming/", r"[a-z]:/(?!users/)")
 #: Hashes that stand for no content: of nothing, or one digit repeated.
@@ -157,6 +159,9 @@ class HistoryIndex:
         buckets = [r.bucket for r in postings.select("bucket").distinct().collect()]  # at most BUCKETS
         held = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets))
         held = held.select("token", F.col("key").alias("other_key"), F.col("words").alias("other"), F.col("entry_id").alias("accepted_id"))
+        if postings.count() <= SMALL:
+            # the tokens of a small batch go to the index, so that only postings they hit are shuffled
+            held = held.join(F.broadcast(postings.select("token").distinct()), "token", "left_semi")
         same = F.when(F.col("words").isNull(), F.col("key") == F.col("other_key")).otherwise(same_words(F.col("words"), F.col("other")))
         keys = postings.select("token", "key", "words").join(held, "token").filter(same).groupBy("key").agg(F.min("accepted_id").alias("accepted_id"))
         return own.join(keys, "key").groupBy("entry_id").agg(F.min("accepted_id").alias("accepted_id"))
