@@ -1,7 +1,8 @@
 """Queries of the search over folders and trees.
 
-Questions are the users' messages whose message_id is divisible by 100, against all documents; searches by description take every
-indexed document.
+Questions are the users' messages whose message_id is divisible by 100. phase1_topk, bandit_visits, phase2_search and ask keep the
+reference's budget of the first fifteen documents of a folder; doc_scores and the queries that end in _full take all of its documents.
+Searches by description take every indexed document.
 """
 
 from __future__ import annotations
@@ -131,22 +132,16 @@ def global_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("folder_name", "place", "document_id", "node_id", "mean")
 
 
-def _phase2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = questions(spark, sf_dir)
-    best = search.best_documents(search.document_scores(asked, search.first_documents(documents(spark, sf_dir))))
+def _phase2(spark: SparkSession, sf_dir: str, asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Sections found in the three best documents of each question's folder in the catalog."""
+    best = search.best_documents(search.document_scores(asked, catalog))
     groups = best.select("query_id", "document_id", "filename", "rank_no").join(asked.select("query_id", "q_words"), "query_id").join(_trees(spark, sf_dir), "document_id")
     found = search.visited(search.tree_search(groups), "query_id", "document_id", "filename")
     return search.apart(found, "query_id", "document_id", "filename")
 
 
-def phase2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question the sections found in its three documents."""
-    return _phase2(spark, sf_dir).select("query_id", "document_id", "rank_no", "node_id", "mean")
-
-
-def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End to end: for each question the three best sections over its documents, with their citations."""
-    found = _phase2(spark, sf_dir)
+def _cited(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """The three best of the found sections of each question, with their citations."""
     order = W.partitionBy("query_id").orderBy(F.desc("mean"), "document_id", "rank_no")
     best = found.withColumn("place", F.row_number().over(order)).filter("place <= 3")
     titles = t.current_nodes(spark, sf_dir, "title")
@@ -156,6 +151,27 @@ def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("place").cast("int").alias("place"), "document_id", "node_id", "mean", cited.alias("citation"))
 
 
+def phase2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question the sections found in the three best of the first fifteen documents of its folder."""
+    found = _phase2(spark, sf_dir, questions(spark, sf_dir), search.first_documents(documents(spark, sf_dir)))
+    return found.select("query_id", "document_id", "rank_no", "node_id", "mean")
+
+
+def phase2_search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question the sections found in the three best of all documents of its folder."""
+    return _phase2(spark, sf_dir, questions(spark, sf_dir), documents(spark, sf_dir)).select("query_id", "document_id", "rank_no", "node_id", "mean")
+
+
+def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question the three best sections over the first fifteen documents of its folder, with their citations."""
+    return _cited(spark, sf_dir, _phase2(spark, sf_dir, questions(spark, sf_dir), search.first_documents(documents(spark, sf_dir))))
+
+
+def ask_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question the three best sections over all documents of its folder, with their citations."""
+    return _cited(spark, sf_dir, _phase2(spark, sf_dir, questions(spark, sf_dir), documents(spark, sf_dir)))
+
+
 def _r(value: str, unit: str = "1e6") -> str:
     """Rounded as scoring.rounded does it."""
     return f"floor(({value}) * {unit} + 0.5) / {unit}"
@@ -244,4 +260,6 @@ SQL = {
         FROM (SELECT ap.g AS query_id, ap.document_id, ap.node_id, ap.mean, top.filename, row_number() OVER (PARTITION BY ap.g ORDER BY ap.mean DESC, ap.document_id, ap.rank_no) AS place
               FROM ap JOIN top ON top.query_id = ap.g AND top.document_id = ap.document_id) x JOIN nw USING (document_id, node_id) WHERE place <= 3""",
 }
+_ALL = _ASKED.replace("FROM sc JOIN f15 USING (entry_id)) WHERE rank_no", "FROM sc) WHERE rank_no")
+SQL |= {f"{name}_full": SQL[name].replace(_ASKED, _ALL) for name in ("phase2_search", "ask")}
 QUERIES = {name: globals()[name] for name in SQL}
