@@ -12,4 +12,4 @@ SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["ask_full"](spark, sf_dir)
+    return QUERIES["ask_routed"](spark, sf_dir)

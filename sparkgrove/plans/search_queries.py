@@ -1,7 +1,8 @@
 """Queries of the search over folders and trees.
 
 Questions are the users' messages whose message_id is divisible by 100. phase1_topk, bandit_visits, phase2_search and ask keep the
-reference's budget of the first fifteen documents of a folder; doc_scores and the queries that end in _full take all of its documents.
+reference's budget of the first fifteen documents of a folder; doc_scores, ask_routed and the queries that end in _full take all of its documents.
+Only ask_routed answers questions without a usable folder too.
 Searches by description take every indexed document.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkgrove.functions import scoring
-from sparkgrove.operators import search, tree
+from sparkgrove.operators import chat, search, tree
 from sparkgrove.plans.tree_queries import _NODES
 from sparkgrove.session import materialize
 from sparkgrove.sources import tables as t
@@ -25,6 +26,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("message_id").alias("query_id"), "folder_name", F.col("content").alias("question"), scoring.words(F.col("content")).alias("q_words"))
 
 
+def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions; where the folder is null or unknown, with the folder that the router falls back to."""
+    asked, folders = questions(spark, sf_dir), t.load_once(spark, sf_dir, "folders")
+    known = F.broadcast(folders.select("folder_name", F.col("folder_name").alias("known")))
+    named = chat.named_folder(asked, folders).select("query_id", F.col("folder_name").alias("named"))
+    rows = asked.join(known, "folder_name", "left").join(named, "query_id")
+    return rows.select("query_id", F.coalesce("known", "named").alias("folder_name"), "question", "q_words")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed documents of the catalog with their words."""
     rows = t.load_once(spark, sf_dir, "folder_docs", "batch_no", "folder_name", "filename", "ord", "document_id", "summary", "keywords").filter("batch_no = 0 and document_id is not null")
@@ -172,6 +182,11 @@ def ask_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cited(spark, sf_dir, _phase2(spark, sf_dir, questions(spark, sf_dir), documents(spark, sf_dir)))
 
 
+def ask_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: ask_full over every question, those without a usable folder routed to one first."""
+    return _cited(spark, sf_dir, _phase2(spark, sf_dir, materialize(routed_questions(spark, sf_dir), "asked"), documents(spark, sf_dir)))
+
+
 def _r(value: str, unit: str = "1e6") -> str:
     """Rounded as scoring.rounded does it."""
     return f"floor(({value}) * {unit} + 0.5) / {unit}"
@@ -262,4 +277,8 @@ SQL = {
 }
 _ALL = _ASKED.replace("FROM sc JOIN f15 USING (entry_id)) WHERE rank_no", "FROM sc) WHERE rank_no")
 SQL |= {f"{name}_full": SQL[name].replace(_ASKED, _ALL) for name in ("phase2_search", "ask")}
+_ROUTED = f"""rt AS (SELECT DISTINCT message_id AS query_id, folder_name AS own, content FROM chat_messages WHERE message_id % 100 = 0 AND lower(trim(regexp_replace(role, '\\s', '', 'g'))) = 'user' AND content IS NOT NULL),
+    nm AS (SELECT query_id, min(f.folder_name) AS named FROM rt JOIN folders f ON contains(lower(content), lower(f.folder_name)) GROUP BY query_id),
+    qs AS (SELECT query_id, CASE WHEN own IN (SELECT folder_name FROM folders) THEN own ELSE coalesce(named, (SELECT min(folder_name) FROM folders)) END AS folder_name, {_tokens('content')} AS qw FROM rt LEFT JOIN nm USING (query_id))"""
+SQL["ask_routed"] = SQL["ask"].replace(_ASKED, _ROUTED + _ALL[_ALL.index(",\n    ds AS"):])
 QUERIES = {name: globals()[name] for name in SQL}

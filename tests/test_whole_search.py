@@ -32,3 +32,8 @@ def test_documents_after_the_fifteenth_are_searched(spark, shelf):
     assert "d18" in {r.document_id for r in registry.QUERIES["phase2_search_full"](spark, shelf).collect()}
     best = next(r for r in registry.flagship(spark, shelf).collect() if r.query_id == 100 and r.place == 1)
     assert (best.document_id, best.citation) == ("d18", "[a18.pdf → Scope, pp.1-4]")
+
+
+def test_questions_without_a_folder_are_routed(spark, shelf):
+    best = {r.query_id: r.document_id for r in registry.flagship(spark, shelf).collect() if r.place == 1}
+    assert best == {100: "d18", 200: "d30", 300: "d18"}
