@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +20,26 @@ def range_text(docs: DataFrame, key: str, text: str, first: int, last: int) -> D
     return docs.filter(F.col(text).isNotNull()).select(key, F.array_join(marked, "\n\n").alias("pages_text")).filter("pages_text != ''")
 
 
+def per_range(docs: DataFrame, ranges: DataFrame, key: str, text: str, value: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """(key, start_page, end_page, name) of each range of a document: ``value`` of the range's pages, an array, and its first page.
+
+    The ranges of a document meet its text in one row, whose pages are split once; neither pages nor texts are shuffled by range.
+    """
+    spans = ranges.groupBy(key).agg(F.collect_list(F.struct("start_page", "end_page")).alias("_spans"))
+    rows = docs.filter(F.col(text).isNotNull()).join(spans, key)
+
+    def of_pages(pages: Column) -> Column:
+        return F.transform("_spans", lambda r: F.struct(r["start_page"].alias("start_page"), r["end_page"].alias("end_page"), value(F.slice(pages, r["start_page"] + 1, r["end_page"] - r["start_page"] + 1), r["start_page"]).alias(name)))
+
+    return rows.select(key, F.inline(F.transform(F.array(F.split(text, "\n")), of_pages)[0]))
+
+
+def range_texts(docs: DataFrame, ranges: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start_page, end_page, pages_text): the pages of each range of ``ranges`` as one text with page marks."""
+    marked = lambda pages, first: F.array_join(F.transform(pages, lambda p, i: F.concat(F.lit("--- Page "), (i + first + 1).cast("string"), F.lit(" ---\n"), p)), "\n\n")
+    return per_range(docs, ranges, key, text, marked, "pages_text")
+
+
 def summary(docs: DataFrame, key: str, text: str, pages: int = 5, chars: int = 200) -> DataFrame:
     """Stand-in for a written summary: the beginning of the first pages, and how many of them there are."""
     head = F.slice(F.split(text, "\n"), 1, pages)

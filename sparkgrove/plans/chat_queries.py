@@ -81,6 +81,7 @@ def doc_head_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample: the pages 1 to 3 of every text; section_texts has all pages."""
     return pages.range_text(t.load_once(spark, sf_dir, "documents", "text"), "doc_id", "text", 1, 3)
 
 
@@ -92,6 +93,11 @@ def build_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sections(doc_pages(spark, sf_dir), "doc_id")
 
 
+def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every section, with page marks."""
+    return pages.range_texts(t.load_once(spark, sf_dir, "documents", "text"), build_sections(spark, sf_dir), "doc_id", "text")
+
+
 _CM = "WITH cm AS (SELECT DISTINCT ON (conv_id, turn) * FROM chat_messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
 _CARDS = f"""{_CM}, sx AS (SELECT conv_id, turn, sources, unnest(range(0, len(sources))) AS place FROM cm),
     ca AS (SELECT conv_id, turn, CAST(place AS INTEGER) AS place, sources[place + 1].document AS document, sources[place + 1].section AS section, sources[place + 1].pages AS pages, round(sources[place + 1].score, 3) AS score FROM sx)"""
@@ -128,4 +134,6 @@ SQL = {
         so AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY page_no) AS ord FROM hd)
         SELECT doc_id, CAST(ord AS BIGINT) AS ord, coalesce(min(CASE WHEN heading THEN trim(page, ' ') END), 'Document') AS title, min(page_no) AS start_page, max(page_no) AS end_page FROM so GROUP BY doc_id, ord""",
 }
+SQL["section_texts"] = f"""{_PG}, se AS ({SQL['build_sections']}) SELECT se.doc_id, start_page, end_page, string_agg('--- Page ' || (page_no + 1) || ' ---' || chr(10) || page, chr(10) || chr(10) ORDER BY page_no) AS pages_text
+    FROM se JOIN pg ON pg.doc_id = se.doc_id AND page_no BETWEEN start_page AND end_page GROUP BY se.doc_id, start_page, end_page"""
 QUERIES = {name: globals()[name] for name in SQL}
