@@ -40,6 +40,23 @@ def range_texts(docs: DataFrame, ranges: DataFrame, key: str, text: str) -> Data
     return per_range(docs, ranges, key, text, marked, "pages_text")
 
 
+def stub_sections(found: DataFrame, key: str) -> DataFrame:
+    """(key, title, stub, start_page, end_page): found sections, but of a document without any heading one section 'Page N' per page.
+
+    ``stub`` is the summary of such a section, null for found ones.
+    """
+    bare = F.max("ord").over(W.partitionBy(key)) == 0
+    rows = found.withColumn("bare", bare).withColumn("first", F.explode(F.when(F.col("bare"), F.sequence("start_page", "end_page")).otherwise(F.array("start_page"))))
+    number = (F.col("first") + 1).cast("string")
+    title, stub = F.when(F.col("bare"), F.concat(F.lit("Page "), number)).otherwise(F.col("title")), F.when(F.col("bare"), F.concat(F.lit("Content on page "), number))
+    return rows.select(key, title.alias("title"), stub.alias("stub"), F.col("first").alias("start_page"), F.when(F.col("bare"), F.col("first")).otherwise(F.col("end_page")).alias("end_page"))
+
+
+def range_summaries(docs: DataFrame, ranges: DataFrame, key: str, text: str, pages: int = 5, chars: int = 200) -> DataFrame:
+    """(key, start_page, end_page, summary): as ``summary``, of each range."""
+    return per_range(docs, ranges, key, text, lambda ps, _: F.substring(F.array_join(F.slice(ps, 1, pages), " "), 1, chars), "summary")
+
+
 def summary(docs: DataFrame, key: str, text: str, pages: int = 5, chars: int = 200) -> DataFrame:
     """Stand-in for a written summary: the beginning of the first pages, and how many of them there are."""
     head = F.slice(F.split(text, "\n"), 1, pages)

@@ -66,6 +66,19 @@ def first_sections(nodes: DataFrame) -> DataFrame:
     return first.select("document_id", "title", "start_page", F.col("_first.node_id").alias("node_id"), "copies")
 
 
+def flat_tree(sections: DataFrame, totals: DataFrame) -> DataFrame:
+    """The nodes of flat trees: of every document of ``totals`` a root over all of its pages, and its sections in page order as the root's children.
+
+    Sections are (document_id, title, summary, start_page, end_page), totals (document_id, total_pages). A document without sections is a root
+    alone. Ids have four digits, more where a document has more sections.
+    """
+    order = W.partitionBy("document_id").orderBy("start_page", "title")
+    kids = sections.withColumn("preorder", F.row_number().over(order))
+    kids = kids.select("document_id", F.format_string("%04d", "preorder").alias("node_id"), F.lit("0000").alias("parent_id"), "preorder", F.lit(1).alias("level"), "title", "summary", "start_page", "end_page")
+    roots = totals.select("document_id", F.lit("0000").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("preorder"), F.lit(0).alias("level"), F.lit("Document").alias("title"), F.lit("Full document").alias("summary"), F.lit(0).alias("start_page"), (F.col("total_pages") - 1).alias("end_page"))
+    return roots.unionByName(kids)
+
+
 def coverage(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     """document_id, total_pages, covered (distinct pages in the ranges, outside the document too) and their ratio."""
     covered = ranges.filter("start_page <= end_page").select("document_id", F.explode(F.sequence("start_page", "end_page")).alias("page"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.functions import scoring
-from sparkgrove.operators import chat, pages
+from sparkgrove.operators import chat, pages, tree
 from sparkgrove.plans.search_queries import questions
+from sparkgrove.session import materialize
 from sparkgrove.sources import tables as t
 
 
@@ -98,6 +99,20 @@ def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.range_texts(t.load_once(spark, sf_dir, "documents", "text"), build_sections(spark, sf_dir), "doc_id", "text")
 
 
+def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat tree of every text, as nodes: sections, stubs where there are none, repeated sections dropped, a root.
+
+    The sections found by headings leave no page uncovered, so there are no runs to be read again. Null texts have no pages and no tree.
+    """
+    docs = t.load_once(spark, sf_dir, "documents", "text").filter("text is not null")
+    found = materialize(pages.stub_sections(build_sections(spark, sf_dir), "doc_id"), "sections")
+    placed = found.select(F.col("doc_id").alias("document_id"), F.col("start_page").alias("node_id"), F.col("start_page").alias("preorder"), "title", "stub", "start_page", "end_page")
+    kept = placed.join(tree.first_sections(placed).select(*tree.NODE), tree.NODE, "left_semi")
+    texts = pages.range_summaries(docs, found.filter("stub is null"), "doc_id", "text").withColumnsRenamed({"doc_id": "document_id", "summary": "text"})
+    rows = kept.join(texts, ["document_id", "start_page", "end_page"], "left").withColumn("summary", F.coalesce("stub", "text"))
+    return tree.flat_tree(rows.select("document_id", "title", "summary", "start_page", "end_page"), found.groupBy(F.col("doc_id").alias("document_id")).agg((F.max("end_page") + 1).alias("total_pages")))
+
+
 _CM = "WITH cm AS (SELECT DISTINCT ON (conv_id, turn) * FROM chat_messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
 _CARDS = f"""{_CM}, sx AS (SELECT conv_id, turn, sources, unnest(range(0, len(sources))) AS place FROM cm),
     ca AS (SELECT conv_id, turn, CAST(place AS INTEGER) AS place, sources[place + 1].document AS document, sources[place + 1].section AS section, sources[place + 1].pages AS pages, round(sources[place + 1].score, 3) AS score FROM sx)"""
@@ -136,4 +151,10 @@ SQL = {
 }
 SQL["section_texts"] = f"""{_PG}, se AS ({SQL['build_sections']}) SELECT se.doc_id, start_page, end_page, string_agg('--- Page ' || (page_no + 1) || ' ---' || chr(10) || page, chr(10) || chr(10) ORDER BY page_no) AS pages_text
     FROM se JOIN pg ON pg.doc_id = se.doc_id AND page_no BETWEEN start_page AND end_page GROUP BY se.doc_id, start_page, end_page"""
+SQL["build_index"] = f"""{_PG}, se AS ({SQL['build_sections']}), ob AS (SELECT *, max(ord) OVER (PARTITION BY doc_id) = 0 AS bare FROM se),
+    ss AS (SELECT doc_id, title, substr(array_to_string(ps[start_page + 1:least(end_page + 1, start_page + 5)], ' '), 1, 200) AS summary, start_page, end_page FROM ob JOIN px USING (doc_id) WHERE NOT bare
+        UNION ALL SELECT doc_id, 'Page ' || (page_no + 1), 'Content on page ' || (page_no + 1), page_no, page_no FROM pg WHERE doc_id IN (SELECT doc_id FROM ob WHERE bare)),
+    nu AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_page, title) AS INTEGER) AS preorder FROM ss)
+    SELECT doc_id AS document_id, printf('%04d', preorder) AS node_id, '0000' AS parent_id, preorder, 1 AS level, title, summary, start_page, end_page FROM nu
+    UNION ALL SELECT doc_id, '0000', NULL, 0, 0, 'Document', 'Full document', 0, CAST(len(ps) - 1 AS INTEGER) FROM px"""
 QUERIES = {name: globals()[name] for name in SQL}
