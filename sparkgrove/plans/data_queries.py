@@ -18,9 +18,10 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and keywords of the raw index files, each with the path of its parent."""
     tables = shredding.flat_tables(_elements(spark, sf_dir), "record_id")
-    empty = spark.createDataFrame([], "record_id long, path string, parent_path string, value string, node_id string")
+    empty = spark.createDataFrame([], "record_id long, path string, parent_path string, value string, fields map<string, string>")
     nodes, terms = (tables.get(k, empty) for k in ("node", "keywords"))
-    node_id = F.col("node_id") if "node_id" in nodes.columns else F.lit(None).cast("string")
+    # of more fields than a table has columns some stay in the map
+    node_id = F.col("node_id") if "node_id" in nodes.columns else F.col("fields")["node_id"]
     columns = ["record_id", "kind", "item_path", "parent_path", "item_value"]
     nodes = nodes.select("record_id", F.lit("node"), "path", "parent_path", F.coalesce(node_id, F.lit("0000"))).toDF(*columns)
     terms = terms.select("record_id", F.lit("keyword"), "path", "parent_path", "value").toDF(*columns)

@@ -63,3 +63,13 @@ def test_own_tables():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "record_id long, raw string, path string")
     assert s.flat_tables(s.elements(none, "record_id", "raw"), "record_id") == {}
+
+
+def test_node_ids_among_more_fields_than_columns(spark, tmp_path):
+    from sparkgrove.plans.data_queries import p2_found
+
+    raw = json.dumps({"tree": {f"a{i:03d}": str(i) for i in range(250)} | {"node_id": "0042", "children": [{"title": "none"}]}})
+    spark.createDataFrame([(1, raw)], "record_id long, raw string").write.parquet(f"{tmp_path}/index_records.parquet")
+    assert {(r.item_path, r.item_value) for r in p2_found(spark, str(tmp_path)).collect()} == {("0", "0042"), ("0/0", "0000")}
+    spark.createDataFrame([(1, None)], "record_id long, raw string").write.parquet(f"{tmp_path}/none/index_records.parquet")
+    assert p2_found(spark, f"{tmp_path}/none").count() == 0
