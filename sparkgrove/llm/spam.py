@@ -1,173 +1,161 @@
 """Keyword-stuffed and link-list pages.
 
-Two kinds of evidence are joined per page. Phrases: the page's phrases, five-word shingles of what stands between separators, are exploded, and a phrase is stitched
-in if it occurs under several hosts or again and again on the page itself. Lists: the share of the page's characters in lines that are
-lists of keywords, links, menu items or product tags, or that string the same keywords together, rather than sentences,
-rows of measurements, headings or code. A page that is mostly list, the more so the less it is stitched, is spam.
+Two kinds of evidence are joined per page. Lists: the parts of a page (its lines and sentences) that have hardly any
+function word are listed rather than written; parts that repeat one of the page's own keywords again and again are stuffed.
+Phrases: the phrases of all pages are exploded and the distinct hosts counted that each occurs under. A page is spam if it
+is mostly listed or stuffed, and that matter is mostly stitched from phrases that stand elsewhere too. A list of things
+that nobody else names is no spam, nor is prose, however often its phrases return.
+
+A phrase is a pair of neighbouring words between separators, or a single word that stands alone there, as keywords, menu
+items and the words of a link's path have one to three words. Words with digits part phrases, as numbers,
+product codes and ids don't recur. Everything is computed by expressions inside the JVM.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.pairs import WORDS
 from sparkgrove.session import materialize
 
-SHINGLE = 5
-#: Hosts under which a phrase must occur, the share of a page's characters that must be listed, and the least sum of that share and
-#: the share of phrases that are stitched in: the more of a page is list, the less has to be stitched in.
-HOSTS, LISTED, EVIDENCE = 2, 0.5, 0.8
-
-#: Short function words that several languages share.
-SHARED = "la de a in an or no que un i o e den as if so at on only once did was die"
-FUNCTION = frozenset(" ".join([*WORDS.values(), SHARED]).split())
-WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*")
-MARK = re.compile(r"<[^<>]*>|[\[\]()]")
-LABEL = re.compile(r"^[^\W\d][\w ]{1,23}:\s+(?=\S)")
-ROW = re.compile(r"^\d{1,4}[-./]\d\d?[-./]\d{1,4}\b")
-CODE = re.compile(r"^(?:checksum\b|page \d+ of|[{}\"`]|\](?!\()|\[(?![^\]]+\]\())", re.I)
-TAG = re.compile(r"<tag>|\btag:|(?<!\w)#\w{3,}", re.I)
-STOCK = re.compile(r"^[^\W\d_]{2,4}-\d+ ")
-COUNTED = re.compile(r"\(\d+\)$")
-ITEMS = re.compile(r"\s+[-–—/>|»•·]\s+|\s*::\s*|[;,]\s+|\s*[|•»]\s*")
-LINES = re.compile("[\\n\\r\\v\\f\\x85\\u2028\\u2029]+")
-SENTENCES = re.compile(r"(?<=[.!?])\s+")
-OTHER_SCRIPT = re.compile("[\\u0400-\\u04ff\\u3040-\\u30ff\\u4e00-\\u9fff]")
-
-
-def _shape(line: str) -> str:
-    """What a line looks like by itself: a kind of list, a row, code, something short, or a sentence."""
-    if ROW.match(line):
-        return "row"
-    if CODE.match(line):
-        return "code"
-    links = len(URL.findall(line))
-    if links and len(WORD.findall(MARK.sub(" ", URL.sub(" ", line)))) <= 8 * links:
-        return "list"
-    if len(TAG.findall(line)) >= 2 or STOCK.match(line):
-        return "list"
-    bare = LABEL.sub("", line)
-    words = WORD.findall(bare.lower())
-    if not words:
-        return "short"
-    foreign = 2 * len(OTHER_SCRIPT.findall(line)) > len(line)
-    function = sum(w in FUNCTION for w in words) / len(words)
-    items = [x for x in ITEMS.split(bare) if x.strip()]
-    if len(items) >= 4 and len(words) <= 4.5 * len(items) and function < 0.2:
-        return "list"
-    if len(words) <= 6:
-        if COUNTED.search(line):
-            return "list"
-        if line[-1] not in ".!?。;:":
-            return "short"
-    return "list" if len(words) >= 4 and function < 0.16 and not foreign else "foreign" if foreign else "sentence"
-
-
-def keywords(lines: list[str]) -> frozenset[str]:
-    """The words a page strings together: no function words, frequent on the page, and repeated within its sentences."""
-    total: Counter[str] = Counter()
-    sentences: Counter[str] = Counter()
-    n = 0
-    for line in lines:
-        for sentence in SENTENCES.split(LABEL.sub("", line)):
-            words = WORD.findall(sentence.lower())
-            n += len(words)
-            found = [w for w in words if len(w) > 1 and w not in FUNCTION and not w.isdigit()]
-            total.update(found)
-            sentences.update(set(found))
-    return frozenset(w for w, k in total.items() if k >= 3 and k >= 0.035 * n and k >= 1.25 * sentences[w])
-
-
-def _strung(line: str, keys: frozenset[str]) -> bool:
-    """Whether a line repeats keywords more densely than prose about them does."""
-    words = WORD.findall(LABEL.sub("", line).lower())
-    if len(words) < 4:
-        return False
-    hits = [w in keys for w in words]
-    runs = sum(h and not (i and hits[i - 1]) for i, h in enumerate(hits))
-    runs += sum(hits[i] and hits[i - 1] and words[i] in words[max(0, i - 3) : i] for i in range(1, len(words)))
-    return runs >= 0.2 * len(words) or sum(hits) >= 0.5 * len(words)
-
-
-def list_share(text: str | None) -> tuple[int, int]:
-    """Characters of a page in lists or keyword strings, and in all; white space aside. (0, 0) for null or blank."""
-    clean = "".join(c for c in unicodedata.normalize("NFKC", text or "") if unicodedata.category(c) != "Cf")
-    lines = [x.strip() for x in LINES.split(clean) if x.strip()]
-    shapes = [_shape(x) for x in lines]
-    sizes = [len("".join(x.split())) for x in lines]
-    keys = keywords(lines)
-    listed = short = prose = 0
-    for line, shape, size in zip(lines, shapes, sizes):
-        if shape == "list" or shape == "sentence" and keys and _strung(line, keys):
-            listed += size
-        elif shape == "short":
-            short += 1
-        elif shape != "code":
-            prose += 1
-    # many short lines without text between them are a list, not headings
-    if short >= 4 and short > 2 * prose:
-        listed += sum(size for shape, size in zip(shapes, sizes) if shape == "short")
-    return listed, sum(sizes)
-
-
-def with_list_share(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, listed, total) of every row; no shuffle."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shares = [list_share(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[i] for s in shares], pa.int64()) for i in (0, 1))], names=["key", "listed", "total"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, listed long, total long").withColumnRenamed("key", key)
-
-
-def shingles(text: Column) -> Column:
-    """Hashes of the phrases of a page: five-word shingles of what stands between separators, as sets of words.
-
-    Links and numbers are masked; a phrase of under five words is one shingle. As sets, because keywords strung together
-    come in any order.
+#: A part with at most this share of function words is listed.
+WRITTEN = 0.12
+#: A keyword occurs so often on the page, makes up so much of its words, and is repeated within its parts so many times over.
+TIMES, OFTEN, REPEATED = 3, 0.02, 1.25
+#: A part is stuffed if keywords are so much of it, each counted as one word.
+STUFFED = 0.25
+#: Hosts under which a phrase must occur, and the shares that count as most: of the page listed, and of that stitched.
+HOSTS, LISTED, STITCHED = 2, 0.5, 0.5
+
+#: Function words of six languages. Those that join the words of a name (of, de, du) are left out.
+FUNCTION_WORDS = (
+    "the and is was to with that has have not by from it which are were this be been each because before after only did does how who where there they their about you i we he she as at on if so than what when your our can could would will should may must an or no any but into between during then these those had its his her them until in "
+    "der die das und ist nicht ein eine einen einer einem zu den dem mit für auf im wird werden ob sich bei nach seit wie wer wann warum zum zur noch dieser dieses muss müssen kann wurde wir hat am ich von vom aus als auch es er sie dass damit unter alle durch bis "
+    "le les est et une dans pour sur avec qui ne pas cette ce au aux il ils elle selon non nous vous être été sont son ses sa avant après par plus que où se si a un en toute doit "
+    "el los las y una con para por según este esta al su sus lo como más cada debe ser desde son ha han fue donde antes "
+    "и в не на я он с что а по это к но они мы из у за от со для до как был была было были или же бы все при о"
+).split()
+#: Cyrillic letters that look like Latin ones, and those.
+ALIKE = ("аеорсхуі", "aeopcxyi")
+
+_BREAKS = r"[\n\r\u000b\f\u0085\u2028\u2029。]+|[.!?]\s+"
+_SEPARATORS = r" [-_]+ |[^\p{L}\p{M}\p{N}' _¶-]+"
+_INVISIBLE = "\u00ad\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff¶"
+
+
+def _clean(text: Column) -> Column:
+    """The page in lower case, its parts parted by ¶ and its separators turned to bars."""
+    # the invisible are replaced by nothing, as translate does with what has no counterpart
+    clean = F.translate(text, ALIKE[0] + _INVISIBLE, ALIKE[1])
+    clean = F.when(text.contains("#"), F.regexp_replace(clean, r"(\p{Ll})(\p{Lu})", "$1 $2")).otherwise(clean)
+    clean = F.lower(F.when(text.contains("<"), F.regexp_replace(clean, r"</?[a-zA-Z]+(?:\s+href)?", "<")).otherwise(clean))
+    return F.translate(F.regexp_replace(F.regexp_replace(clean, _BREAKS, " ¶ "), _SEPARATORS, " | "), "-_", "  ")
+
+
+def _parts(text: Column) -> Column:
+    """Lines and sentences of a page: chars (letters, roughly), words, function words, and phrases as hashes.
+
+    The lowest bit of a hash tells whether all words of the phrase are content.
+    """
+    function = sorted({w.translate(str.maketrans(*ALIKE)) for w in FUNCTION_WORDS})
+    def phrases(ts: Column, marks: Column) -> Column:
+        def at(word: Column, i: Column) -> Column:
+            mine, following = F.get(marks, i), F.coalesce(F.get(marks, i + 1), F.lit(2))
+            alone = (following == 2) & (F.coalesce(F.get(marks, i - 1), F.lit(2)) == 2)
+            key = F.when(mine == 2, None).when(following != 2, F.xxhash64(word, F.get(ts, i + 1))).when(alone, F.xxhash64(word))
+            return F.shiftleft(F.shiftright(key, 1), 1) + F.when((mine == 1) | (following == 1), F.lit(0)).otherwise(F.lit(1))
+
+        return F.array_compact(F.transform(ts, at))
+
+    def part(row: Column) -> Column:
+        ts, marks = row["tokens"], row["marks"]
+        words = F.size(F.filter(marks, lambda m: m != 2))
+        # what stands alone between separators joins nothing
+        joins = F.filter(marks, lambda m, i: (m == 1) & ((F.coalesce(F.get(marks, i + 1), F.lit(2)) < 2) | (F.coalesce(F.get(marks, i - 1), F.lit(2)) < 2)))
+        written = F.when(row["kana"], words + 1).otherwise(F.size(joins))
+        return F.struct(row["chars"].alias("chars"), words.alias("words"), written.alias("function"), phrases(ts, marks).alias("phrases"))
+
+    def marked(row: Column) -> Column:
+        # of each token: 0 content, 1 function word, 2 separator, as are words with digits
+        marks = F.transform(row["tokens"], lambda w: F.when((w == "|") | w.rlike(r"\p{N}"), 2).when(w.isin(function), 1).otherwise(0))
+        return F.struct(row["chars"].alias("chars"), row["kana"].alias("kana"), row["tokens"].alias("tokens"), marks.alias("marks"))
+
+    def split(p: Column) -> Column:
+        # hiragana writes the particles of Japanese, which has no blanks: a part that holds any is written
+        return F.struct(F.length(F.replace(p, F.lit(" "))).alias("chars"), p.rlike(r"[\u3041-\u309f]").alias("kana"), F.filter(F.split(p, " "), lambda w: w != "").alias("tokens"))
+
+    rows = F.transform(F.split(_clean(text), "¶"), split)
+    return F.transform(F.transform(F.filter(rows, lambda r: r["chars"] > 0), marked), part)
+
+
+def _content(phrase: Column) -> Column:
+    return phrase.bitwiseAND(F.lit(1)) == 1
+
+
+def _keywords(parts: Column) -> Column:
+    """Phrases of content that the page repeats within its parts; at most 1 / OFTEN of them, so that looking for each is cheap."""
+    every = F.array_sort(F.flatten(F.transform(parts, lambda p: F.filter(p["phrases"], _content))))
+    once = F.flatten(F.transform(parts, lambda p: F.array_distinct(F.filter(p["phrases"], _content))))
+    words = F.aggregate(parts, F.lit(0), lambda s, p: s + p["words"])
+    least = F.greatest(F.lit(TIMES), F.ceil(words * OFTEN).cast("int"))
+
+    def chosen(lists: Column) -> Column:
+        sorted_, single, reach = lists["every"], lists["once"], lists["least"]
+        frequent = F.array_distinct(F.filter(sorted_, lambda x, i: F.get(sorted_, i + reach - 1) == x))
+        return F.filter(frequent, lambda x: F.size(F.filter(sorted_, lambda y: y == x)) >= REPEATED * F.size(F.filter(single, lambda y: y == x)))
+
+    # a list of one, so that the arrays are computed once for all phrases
+    return F.transform(F.array(F.struct(every.alias("every"), once.alias("once"), least.alias("least"))), chosen)[0]
+
+
+def evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """(key, host, total, listed, listed_only, evidence, phrases) of every row with text; no shuffle.
+
+    total: characters of the page; listed: of its parts that are listed or stuffed; listed_only: without the stuffed ones;
+    evidence: their phrases, each with the characters it stands for; phrases: the distinct phrases of the page.
     """
-    plain = F.regexp_replace(F.lower(text), r"(?:https?://|www\.)\S+|[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+/\S*", " url | ")
-    plain = F.regexp_replace(plain, r"</?\p{L}[^<>]*>|[|»•·;,>#\r\t\f]|::|\s[-–—/]\s|\(\d+\)|\btag:", "\n")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\p{N}+", "0"), r"[^\p{L}\p{M}0\n]+", " ")
-    phrases = F.filter(F.transform(F.split(plain, "\n"), F.btrim), lambda x: x != "")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), _parts(F.col(text)).alias("parts"))
+    # a generator between the steps, or the optimizer would merge them and compute the parts again for each use
+    rows = rows.select("key", "host", F.explode(F.array("parts")).alias("parts"))
+    rows = rows.select("key", "host", F.explode(F.array(F.struct("parts", _keywords(F.col("parts")).alias("keywords")))).alias("page"))
+
+    def judged(part: Column) -> Column:
+        known, phrases = F.col("page.keywords"), part["phrases"]
+        keys = F.filter(phrases, lambda x: F.array_contains(known, x))
+        listed = (part["words"] > 0) & (part["function"] <= WRITTEN * part["words"])
+        # a keyword of several words is a run of phrases, and counts as one word
+        runs = F.size(F.filter(phrases, lambda x, i: F.array_contains(known, x) & ~F.coalesce(F.array_contains(known, F.get(phrases, i - 1)), F.lit(False))))
+        stuffed = (runs > 0) & (runs >= STUFFED * (part["words"] - F.size(keys)))
+        return F.struct(part["chars"].alias("chars"), listed.alias("listed"), stuffed.alias("stuffed"), F.when(listed, part["phrases"]).when(stuffed, keys).otherwise(F.array().cast("array<bigint>")).alias("phrases"))
+
+    rows = rows.select("key", "host", F.array_distinct(F.flatten("page.parts.phrases")).alias("phrases"), F.explode(F.array(F.transform("page.parts", judged))).alias("parts"))
 
-    def of_words(words: Column) -> Column:
-        # single items, as a slice would copy the whole array for every shingle
-        last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.get(words, i + k) for k in range(SHINGLE)]))))))
+    def chars(which: Column | None) -> Column:
+        return F.aggregate(F.col("parts") if which is None else F.filter("parts", which), F.lit(0).cast("long"), lambda s, p: s + p["chars"])
 
-    return F.flatten(F.transform(F.transform(phrases, lambda x: F.split(x, " ")), of_words))
+    shares = F.flatten(F.transform("parts", lambda p: F.transform(p["phrases"], lambda x: F.struct(x.alias("phrase"), (p["chars"] / F.size(p["phrases"])).cast("float").alias("chars")))))
+    return rows.select("key", "host", chars(None).alias("total"), chars(lambda p: p["listed"] | p["stuffed"]).alias("listed"), chars(lambda p: p["listed"]).alias("listed_only"), shares.alias("evidence"), "phrases").filter("total > 0")
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """(key, list_share, stitched_share, spam) of every page with text.
+    """(key, list_share, plain_list_share, stitched_share, spam) of every page with text.
+
+    list_share: of the page listed or stuffed; plain_list_share: listed; stitched_share: of the listed and stuffed matter, what
+    lies in phrases that occur under ``HOSTS`` hosts, or again on the page. spam: both more than half.
 
     Repeated rows of a key count once, rows with a null key are left out; null, empty and blank texts give no row; a null host counts as
-    one host of its own. Copies under other keys are judged one by one. Texts are never shuffled, but for pages that are mostly list. Shingles are counted over all pages, per (shingle, host) before the shuffle, so that a phrase or host
-    that holds a third of all rows arrives as one row a task; only the shingles of pages that are mostly list are joined
-    back to their counts.
+    one host of its own. Copies under other keys are judged one by one. An empty table gives an empty result.
+
+    Texts are read once and never shuffled. Hosts are counted over the phrases of all pages, per (phrase, host) before the shuffle,
+    so that a phrase or host that holds a third of all rows arrives as one row a task. What is looked up is each page's
+    phrases in listed or stuffed parts; a hot phrase is split by Spark's handling of skewed joins.
     """
-    docs = docs.dropna(subset=[key]).select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
-    lists = materialize(with_list_share(docs, "key", "text").filter("total > 0").dropDuplicates(["key"]), "lists")
-    phrases = docs.filter("text is not null").select("host", F.explode(shingles(F.col("text"))).alias("shingle"))
-    dense = lists.filter(F.col("listed") > LISTED * F.col("total")).select("key")
-    listed = docs.join(dense, "key", "left_semi").dropDuplicates(["key"]).select("key", F.explode(shingles(F.col("text"))).alias("shingle"))
-    mine = materialize(listed.groupBy("key", "shingle").agg(F.count("*").alias("times")), "mine")
-    spread = phrases.select("shingle", "host").distinct().groupBy("shingle").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
-    joined = mine.join(spread, "shingle", "left")
-    stitched = (F.col("hosts") >= HOSTS) | (F.col("times") >= 2)
-    shares = joined.groupBy("key").agg((F.sum(F.when(stitched, F.col("times")).otherwise(0)) / F.sum("times")).alias("stitched_share"))
-    both = lists.join(shares, "key", "left")
-    share = F.col("listed") / F.col("total")
-    spam = (share > LISTED) & (share + F.coalesce("stitched_share", F.lit(0.0)) >= EVIDENCE)
-    return both.select(F.col("key").alias(key), share.alias("list_share"), "stitched_share", F.coalesce(spam, F.lit(False)).alias("spam"))
+    kind = docs.schema[key].dataType
+    rows = materialize(evidence(docs.dropna(subset=[key]).filter(F.col(text).isNotNull()), key, text, host), "pages")
+    hosts = rows.select("host", F.explode("phrases").alias("phrase")).distinct().groupBy("phrase").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
+    pages = rows.select("key", "total", "listed", "listed_only", "evidence").dropDuplicates(["key"])
+    stands = pages.filter("listed > 0").select("key", F.explode("evidence").alias("e")).groupBy("key", F.col("e.phrase").alias("phrase")).agg(F.count("*").alias("times"), F.sum("e.chars").alias("chars"))
+    found = stands.join(hosts, "phrase", "left").groupBy("key").agg(F.sum("chars").alias("in_phrases"), F.sum(F.when((F.col("hosts") >= HOSTS) | (F.col("times") >= 2), F.col("chars")).otherwise(0.0)).alias("stitched"))
+    both = pages.drop("evidence").join(found, "key", "left")
+    share, stitched = F.col("listed") / F.col("total"), F.coalesce(F.try_divide("stitched", "in_phrases"), F.lit(0.0))
+    return both.select(F.col("key").cast(kind).alias(key), share.alias("list_share"), (F.col("listed_only") / F.col("total")).alias("plain_list_share"), stitched.alias("stitched_share"), ((share > LISTED) & (stitched > STITCHED)).alias("spam"))
