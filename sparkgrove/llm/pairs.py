@@ -2,13 +2,15 @@
 
 A pair is an assistant's message with the user's message right before it (system messages aside). Conversations are
 cut into blocks of turns, so that a conversation of any length is paired by many tasks. Answers are judged by
-expressions inside the JVM. Refusals are found from the corpus itself: the openings of answers that give no figures are
-clustered by verified MinHash, and an opening that recurs under unrelated questions and often follows an apology is a
-refusal, with or without the apology.
+expressions inside the JVM. Refusals are found from the corpus itself: the openings of all answers are clustered by verified
+MinHash, and a cluster is a template of refusals if it recurs under unrelated questions, if its answers don't go
+on with something of their own, and if some of them apologize or decline; the others then refuse without that.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,16 +19,20 @@ from sparkgrove.session import materialize
 
 #: Turns of one block of a conversation.
 TURNS = 1024
-#: Words of an opening (a short one too, as what is asked about may follow early), words of a shingle, and the similarity from
+#: Words of an opening (a short one too, as what is asked about may follow early), letters of a shingle, and the similarity from
 #: which two openings are the same.
-OPENING, BRIEF, SHINGLE, SIMILAR = 6, 4, 5, 0.8
-#: Unrelated questions under which an opening must recur, and the least share of its answers that begin with an apology.
-RECURS, APOLOGIES = 3, 0.15
+OPENING, BRIEF, SHINGLE, SIMILAR = 6, 4, 3, 0.8
+#: MinHash: bands of so many hashes each; two openings that are 0.8 similar miss all bands in under 2 % of the cases.
+BANDS, ROWS = 8, 4
+#: Unrelated questions under which an opening must recur, and the least share of its answers that apologize or decline.
+RECURS, DECLINES = 3, 0.15
+#: A template informs if at least half of its answers go on differently, so many ways at least.
+WAYS = 8
 
 #: Function words and other words by which a language is told; words shared by two of the languages are left out.
 WORDS = {
     "en": "the of and is was to for with that has have not by from it which are were this be been each please because before after only did does how who where yes there they their about percent section you your i my any our than what when it's don't can't replaces cover earlier glad welcome happy help again page pages could would",
-    "de": "der die das und ist nicht ein eine einen einer zu den dem des mit für von auf im wird werden ob sich bei nach seit wie wer wann warum welche ja nein siehe seite über zum zur noch dieser dieses jahr muss müssen kann kurz gesagt laut gilt bevor wurde wir hat am ich leider mich tut mir es",
+    "de": "der die das und ist nicht ein eine einen einer zu den dem mit für von auf im wird werden ob sich bei nach seit wie wer wann warum welche ja nein siehe seite über zum zur noch dieser dieses jahr muss müssen kann kurz gesagt laut gilt bevor wurde wir hat am ich leider mich tut mir es",
     "fr": "le les des du est et une dans pour sur avec qui ne pas cette ce au aux il ils selon oui non voir depuis nous vous être été sont son ses avant après toute doit par plus reste pourra quelle quelles quand c'est l'a d'après résumé rapport à je n'a montant s'élève chaque page quel quelques mais",
     "es": "el los las del y una en para con por se sí según este esta al su sus lo como más cada debe ser podrá antes desde qué cuál cuándo quién cómo dónde véase página puede está son ha han fue pero nos recomendamos queda próxima sobre me muy",
 }
@@ -49,6 +55,13 @@ APOLOGY = (
     r"|(?:es )?tut mir leid(?: aber)?|leider(?: gilt)?|als assistent|entschuldigung|je suis désolée?(?: mais)?|désolée?(?: mais)?|malheureusement|en tant qu'assistant|lo siento(?: pero)?|lamentablemente|desafortunadamente|disculpe(?: pero)?|como asistente) "
 )
 NOTE = r"^(?:note|hinweis|remarque|nota) "
+#: How somebody says that they don't answer.
+DECLINE = (
+    r"\b(?:i (?:can't|cannot|can not|could not|couldn't|won't|will not|must decline|decline)|i(?:'m| am) (?:not able|unable|not allowed)|i'd rather not|i would rather not|i don't have enough|ich (?:kann|darf|möchte) (?:\S+ ){0,4}(?:nicht|keine)|(?:kann|darf|möchte) ich (?:\S+ ){0,4}(?:nicht|keine)"
+    r"|je ne (?:peux|suis|sais|souhaite)|je préfère ne pas|il m'est impossible|no puedo|no me es posible|prefiero no)\b"
+)
+#: The first sentence of a text.
+HEAD = r"(?s)^.*?(?:[.!?。]+[\"'”»*_)]*(?=\s|$)|\n|$)"
 INVISIBLE = r"[​‌‍⁠﻿­   ]"
 QUOTED = r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\""
 
@@ -129,7 +142,8 @@ def with_language(rows: DataFrame, text: str, words: str, name: str, like: str |
     if like:
         for code in WORDS:
             expected = F.when(F.col(like) == code, speaks(F.col(words), code) >= ENOUGH).otherwise(expected)
-    rows = rows.withColumn("_expected", F.coalesce(expected, F.lit(False)))
+    # what stands in quotation marks tells nothing, and is not counted here either
+    rows = rows.withColumn("_expected", F.coalesce(expected, F.lit(False)) & ~F.col(text).rlike("[“«„\"]"))
     quoted = F.col(text).rlike("[“«„\"]")
     bare = F.when(quoted, plain_words(F.regexp_replace(text, QUOTED, " "))).otherwise(F.col(words))
     rows = rows.withColumn("_hashes", F.when(~F.col("_expected"), F.transform(F.split(bare, " "), lambda w: F.xxhash64(w))))
@@ -158,7 +172,7 @@ def is_truncated(text: Column) -> Column:
     last item is as short as an item, not a broken sentence. Three dots, an open bracket, quotation or code block, and
     a bare list marker at the end mean that the text breaks off.
     """
-    tail = F.substring(text, -400, 400)
+    tail = text
     fences = F.size(F.split(text, "```")) - 1
     closing = r"[\s\"'”’»“*_`)\]]*$"
     stopped = tail.rlike(r"[.!?。！？:]" + closing) & ~tail.rlike(r"(\.\.\.|…)" + closing) & ~tail.rlike(r":[\s*_]*$")
@@ -174,83 +188,121 @@ def is_truncated(text: Column) -> Column:
     name = r"^(?:\p{Lu}[\p{L}'.-]*|&|of|de|der|von|du)(?: (?:\p{Lu}[\p{L}'.-]*|&|of|de|der|von|du)){0,3}$"
     brief = (short <= 4) & (text.rlike("(?i)" + reference) | text.rlike(name)) & ~text.rlike(r"(?i)\b(?:of|de|der|von|du|&|in|the)$")
     # most answers end plainly or with a citation after a full stop; their last characters tell
-    end, fenced = F.substring(text, -150, 150), text.contains("```")
+    end, fenced = text, text.contains("```")
     plainly = F.substring(text, -2, 2).rlike(r"^[^.][.]$|[!?。]$") & ~F.substring(text, -8, 8).rlike(r"(?:^|\n) *\d+[.]$") & ~end.rlike(r"\[[^\]]*$")
     cited_last = text.endswith("]") & end.rlike(r"[.!?。] ?\[[^\[\]]+\]$")
     cut = (fences % 2 == 1) | opened | tail.rlike(r"(\.\.\.|…)" + closing) | tail.rlike(r"\n\s*(?:[-*•]|\d+[.)])\s*$")
-    return F.when((text == "") | (~fenced & (plainly | cited_last)), False).otherwise(cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
+    return F.when((text == "") | (~fenced & (plainly | cited_last) & ~opened), False).otherwise(cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
 
 
 def opening_of(words: Column) -> tuple[Column, Column]:
-    """Of plain words: the first words after an apology, and whether there is one."""
+    """Of the plain words of a first sentence: the first of them after an apology, and whether it apologizes or declines."""
     bare = F.regexp_replace(words, NOTE, "")
     core = F.regexp_replace(bare, APOLOGY, "")
     core = F.regexp_replace(core, APOLOGY, "")
-    return F.array_join(F.slice(F.split(core, " "), 1, OPENING), " "), core != bare
+    return F.array_join(F.slice(F.split(core, " "), 1, OPENING), " "), (core != bare) | bare.rlike(DECLINE)
 
 
-def cluster(openings: DataFrame) -> DataFrame:
-    """(opening, label) of distinct openings; the label is an opening of the same cluster.
+def cluster(openings: DataFrame, seed: str = "true") -> DataFrame:
+    """(opening, label) of the distinct openings that are linked; the label is the smallest opening of the cluster.
 
-    MinHash of the five-word shingles picks candidates, the share of common shingles verifies them: in each band an opening
-    is compared with the band's smallest one, never with all others. What is similar to none of them stays a
-    cluster of its own; equal openings are one row from the start and so are never parted.
+    MinHash of the shingles (three letters, as an opening has few words) picks candidates, the share of common shingles
+    verifies them. In each band an opening is compared with the band's smallest seed, never with all others; what is
+    similar to it leaves the band, and the rest is parted by two more MinHashes and compared again, until no band has a seed and others. An
+    opening that is similar to no seed gives no row; a seed that is similar to nothing is its own cluster. ``seed`` is a
+    condition on ``openings``: links between two openings of which neither is one are not looked for.
     """
-    words = F.split("opening", " ")
-    shingles = F.when(F.size(words) < SHINGLE, F.array("opening")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
-    rows = openings.select("opening").distinct().withColumn("shingles", F.array_distinct(shingles))
-
-    def least_hash(k: int) -> Column:
-        return F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k))))
-
-    rows = rows.withColumn("band", F.explode(F.array(*[F.xxhash64(F.lit(b), *[least_hash(k) for k in (2 * b, 2 * b + 1)]) for b in range(4)])))
-    rows = materialize(rows, "bands")
-    least = rows.groupBy("band").agg(F.min(F.struct("opening", "shingles")).alias("rep"))
-    joined = rows.join(least, "band")
-    alike = F.size(F.array_intersect("shingles", "rep.shingles")) >= SIMILAR * F.size(F.array_union("shingles", "rep.shingles"))
-    label = materialize(joined.groupBy("opening").agg(F.min(F.when(alike, F.col("rep.opening")).otherwise(F.col("opening"))).alias("label")), "labels")
-    while True:  # labels of labels, until every label is its own
-        up = label.select(F.col("opening").alias("label"), F.col("label").alias("root"))
-        label = materialize(label.join(up, "label").select("opening", "root", (F.col("root") != F.col("label")).alias("moved")), "labels")
-        done = label.filter("moved").isEmpty()
-        label = label.select("opening", F.col("root").alias("label"))
-        if done:
+
+    def shingles(name: str) -> Column:
+        padded = F.concat(F.lit(" "), F.col(name), F.lit(" "))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(padded, i, F.lit(SHINGLE)))))
+
+    salts = random.Random(1)  # one hash of a shingle becomes many by exclusive or with numbers
+
+    def least(of: Column) -> Column:
+        salt = salts.getrandbits(62)
+        return F.array_min(F.transform(of, lambda s: s.bitwiseXOR(F.lit(salt))))
+
+    def comparable(bands: DataFrame) -> DataFrame:
+        """Without the bands that have no seed, or nothing else."""
+        return bands.join(bands.groupBy("band").agg(F.max("seed").alias("any"), F.count("*").alias("n")).filter("any and n > 1").select("band"), "band", "left_semi")
+
+    rows = openings.groupBy("opening").agg(F.max(F.expr(seed)).alias("seed")).select("opening", "seed", F.explode(F.array(shingles("opening"))).alias("shingles"))
+    bands = F.array(*[F.xxhash64(F.lit(b), *[least(F.col("shingles")) for _ in range(ROWS)]) for b in range(BANDS)])
+    rows = materialize(rows.select("opening", "seed", F.explode(bands).alias("band")), "bands")
+    left = comparable(rows)
+    alike = (F.col("opening") == F.col("rep")) | (F.size(F.array_intersect(shingles("opening"), shingles("rep"))) >= SIMILAR * F.size(F.array_union(shingles("opening"), shingles("rep"))))
+    links = rows.filter("seed").select("opening", F.col("opening").alias("label")).distinct()
+    while not left.isEmpty():
+        reps = left.filter("seed").groupBy("band").agg(F.min("opening").alias("rep"))
+        judged = materialize(left.join(reps, "band").withColumn("alike", alike), "judged-bands")
+        links = links.unionByName(judged.filter("alike").select("opening", F.col("rep").alias("label")))
+        left = comparable(judged.filter("not alike").select("opening", "seed", F.xxhash64("band", *[least(shingles("opening")) for _ in range(2)]).alias("band")))
+    links = materialize(links.distinct(), "links")
+    label = links.groupBy("opening").agg(F.min("label").alias("label"))
+    ends = links.filter("opening != label").select("opening", F.col("label").alias("other"))
+    ends = ends.unionByName(ends.select(F.col("other").alias("opening"), F.col("opening").alias("other")))
+    while True:  # both ends of a link take the smaller label, until none changes
+        around = ends.join(label.select(F.col("opening").alias("other"), F.col("label").alias("around")), "other").groupBy("opening").agg(F.min("around").alias("around"))
+        new = materialize(label.join(around, "opening", "left").select("opening", F.least("label", "around").alias("label"), (F.col("around") < F.col("label")).alias("moved")), "labels")
+        label = new.select("opening", "label")
+        if new.filter("moved").isEmpty():
             return label
 
 
 def refusal_openings(candidates: DataFrame) -> DataFrame:
-    """The openings that refuse, of rows (opening, apology, topic): recurring under unrelated questions, often after an apology."""
-    seen = candidates.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("apology").cast("int")).alias("apologies"), F.min("topic").alias("low"), F.max("topic").alias("high"), F.approx_count_distinct("topic").alias("topics"))
+    """The openings that refuse, of rows (opening, declines, topic, rest, figures): recurring, declining, and informing of nothing.
+
+    topic is the question, rest a hash of what follows the first sentence, figures one of the numbers in it that the question
+    doesn't name; null where there is none. What recurs is counted by sketches, exact for the few that matter.
+    """
+    def ways(column: str) -> Column:
+        return F.hll_sketch_agg(column).alias(column)
+
+    seen = candidates.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("declines"), F.count("rest").alias("rests"), F.count("figures").alias("figured"), ways("topic"), ways("rest"), ways("figures"))
     seen = materialize(seen, "openings")
-    labels = cluster(seen)
-    rows = seen.join(labels, "opening").groupBy("label").agg(F.sum("n").alias("n"), F.sum("apologies").alias("apologies"), F.max("topics").alias("topics"), F.count_distinct("low").alias("lows"))
-    chosen = rows.filter((F.greatest("topics", "lows") >= RECURS) & (F.col("apologies") >= APOLOGIES * F.col("n")))
+    labels = cluster(seen, "declines > 0")
+
+    def united(column: str) -> Column:
+        return F.hll_sketch_estimate(F.hll_union_agg(column)).alias(column)
+
+    rows = seen.join(labels, "opening").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("n", "declines", "rests", "figured")], united("topic"), united("rest"), united("figures"))
+    own_rest = (F.col("rests") * 2 >= F.col("n")) & (F.col("rest") > WAYS) & (F.col("rest") * 2 >= F.col("rests"))
+    own_figures = (F.col("figured") * 2 >= F.col("n")) & (F.col("figures") > 1)
+    chosen = rows.filter((F.col("topic") >= RECURS) & (F.col("declines") >= DECLINES * F.col("n")) & ~own_rest & ~own_figures)
     return labels.join(chosen.select("label"), "label", "left_semi").select("opening")
 
 
 def defects(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, defect) of each defective pair; at most one defect, in the order empty, copy, refusal, language, truncated.
 
-    Texts are judged whole. An empty table gives an empty result; see ``pair_up`` for nulls, ties and repeated rows.
+    Texts are judged whole, and no answer is left out by its length or its numbers. An empty table gives an empty result; see ``pair_up`` for nulls, ties and repeated rows.
     """
     pairs = pair_up(messages)
     pairs = pairs.withColumn("a", visible(F.col("answer"))).withColumn("q", F.coalesce("question", F.lit("")))
     pairs = pairs.withColumn("aw", plain_words(F.col("a"))).withColumn("qw", plain_words(F.col("q")))
     pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al", like="ql")
-    opening, apology = opening_of(F.col("aw"))
+    # the first sentence, or the whole answer where that is too short to be one, and what follows it
+    pairs = pairs.withColumn("head", plain_words(F.regexp_extract("a", HEAD, 0))).withColumn("brief", F.size(F.split("head", " ")) < BRIEF)
+    opening, declines = opening_of(F.when(F.col("brief"), F.col("aw")).otherwise(F.col("head")))
+    head = F.when(F.col("brief"), F.col("aw")).otherwise(F.col("head"))
+    rest = F.when(~F.col("brief"), F.regexp_replace(plain_words(F.regexp_replace("a", HEAD, "")), r"\p{N}+", "0"))
+    figures = F.array_join(F.array_except(F.filter(F.split(head, " "), lambda w: w.rlike("[0-9]")), F.split("qw", " ")), " ")
     plain = (
         F.when(is_empty(F.col("aw")), "empty")
         .when(is_copy(F.col("qw"), F.col("aw")), "copy")
         .when(is_foreign(F.col("ql"), F.col("al"), F.col("q")), "language")
         .when(is_truncated(F.col("a")), "truncated")
     )
-    uninformed = ~F.col("a").rlike(r"[0-9]") & (F.length("a") < 400)
-    judged = pairs.select("conv_id", "turn", plain.alias("defect"), F.when(uninformed, opening).alias("opening"), F.when(uninformed, apology).alias("apology"), F.xxhash64("qw").alias("topic"))
+    judged = pairs.select(
+        "conv_id", "turn", plain.alias("defect"), opening.alias("opening"), declines.alias("declines"), F.xxhash64("qw").alias("topic"),
+        F.when(rest != "", F.xxhash64(rest)).alias("rest"), F.when(figures != "", F.xxhash64(figures)).alias("figures"),
+    )
     # written before anything is filtered by what was computed: a filter pushed down would compute it all again
     judged = materialize(judged, "judged").filter("defect is not null or opening is not null").dropDuplicates(["conv_id", "turn"])
     unsure = judged.filter("opening != '' and (defect is null or defect not in ('empty', 'copy'))")
     brief = F.array_join(F.slice(F.split("opening", " "), 1, BRIEF), " ")
-    unsure = unsure.select("conv_id", "turn", "apology", "topic", F.explode(F.array_distinct(F.array("opening", brief))).alias("opening"))
+    unsure = unsure.select("conv_id", "turn", "declines", "topic", "rest", "figures", F.explode(F.array_distinct(F.array("opening", brief))).alias("opening"))
     refused = unsure.join(refusal_openings(unsure), "opening", "left_semi").select("conv_id", "turn", F.lit("refusal").alias("refusal"))
     known = judged.filter("defect is not null").select("conv_id", "turn", "defect", F.lit(None).cast("string").alias("refusal"))
     both = known.unionByName(refused, allowMissingColumns=True).groupBy("conv_id", "turn").agg(F.max("defect").alias("defect"), F.max("refusal").alias("refusal"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sparkgrove.llm import pairs as p
@@ -57,10 +59,56 @@ def test_refusals_are_templates_that_recur_under_unrelated_questions(spark):
     assert 9 not in found and 18 not in found
 
 
+ASKED = ["How many pumps are open?", "Who signed the lease?", "When was the valve replaced?", "Why did the audit fail?", "Which pages cover the seal?", "Is there a deadline for the tax return?"]
+
+
+def test_refusals_of_six_questions(spark):
+    sets = [
+        ["I'm sorry, but I can't help with that request."] * 6,  # control
+        ["I am unable to discuss such matters here."] * 6,  # without apology
+        ["I'm sorry, but this must stay open. Please ask again within 24 hours."] * 6,  # a number
+        ["Unfortunately, nothing lets me settle request 7."] * 6,
+        ["Apologies, you must look that up. " + "Please contact the owner of the document for more. " * 12] * 6,  # long
+        ["That topic is off limits for me.", "Sorry, that topic is off limits for me."] * 3,  # with and without
+        ["I'd rather not speculate about any of this.", "Id rather not speculate about any of this.", "I'd rather not speculatte about any of this."] * 2,  # spelled otherwise
+    ]
+    cases = [(q, a) for answers in sets for q, a in zip(ASKED, answers)]
+    assert judged(spark, cases) == {i: "refusal" for i in range(len(cases))}
+
+
+def test_what_is_no_refusal(spark):
+    cases = [(q, "I'm sorry, but I can't help with that request.") for q in ASKED[:2]]  # under two questions only
+    cases += [(q, f"Unfortunately the pump failed its test in May {2010 + i}, so it was replaced.") for i, q in enumerate(ASKED)]  # figures of their own
+    cases += [(q, f"Sorry for the delay. The report of {q[:7]} number {'abcdefghi'[i % 6]} names {'klmnopqr'[i // 6]} as the plant.") for i, q in enumerate(ASKED * 3)]  # go on differently
+    cases += [(q, "No, it was repaired earlier.") for q in ASKED]  # neither apologizes nor declines
+    assert judged(spark, cases) == {}
+
+
 def test_clusters_are_verified(spark):
-    rows = [("one two three four five six",), ("one two three four five seven",), ("one two three four five six",), ("short",)]
+    rows = [("i am not able to answer",), ("i am not able to anwser",), ("i am not able to answr",), ("one two three four five six",), ("one two three four five seven",), ("one two three four five six",), ("short",), ("",)]
     labels = {r.opening: r.label for r in p.cluster(spark.createDataFrame(rows, "opening string")).collect()}
-    assert labels == {x[0]: x[0] for x in rows}
+    assert labels == {x[0]: "i am not able to answer" if x[0] == "i am not able to answr" else x[0] for x in rows} | {k: labels[k] for k in labels if k.startswith(("i am not able to an", "one two"))}
+    assert labels["i am not able to answer"] == labels["i am not able to answr"] != labels["short"]
+
+
+def test_clusters_equal_brute_force(spark):
+    rnd = random.Random(4)
+    openings = set()
+    for i in range(40):
+        base = " ".join(rnd.choice(["able", "answer", "cannot", "discuss", "request", "topic", "limits", "document"]) for _ in range(6))
+        for _ in range(6):
+            at = rnd.randrange(len(base))
+            openings.add(base[:at] + base[at + rnd.randint(0, 1) :])
+    grams = {o: {f" {o} "[i : i + 3] for i in range(len(o))} for o in openings}
+    label = {o: o for o in openings}
+    for _ in range(len(openings)):
+        new = {o: min(label[x] for x in openings if len(grams[o] & grams[x]) >= 0.8 * len(grams[o] | grams[x])) for o in openings}
+        if new == label:
+            break
+        label = new
+    found = {r.opening: r.label for r in p.cluster(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    same = sum(found[o] == label[o] for o in openings)
+    assert found.keys() == openings and same >= 0.9 * len(openings)
 
 
 def test_long_texts_and_empty_table(spark):
