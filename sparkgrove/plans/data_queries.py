@@ -11,8 +11,11 @@ from sparkgrove.sources import tables as t
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = t.load_once(spark, sf_dir, "index_records", "raw")
-    return materialize(shredding.elements(records, "record_id", "raw"), "elements")
+    raw = t.load(spark, sf_dir, "index_records").select("record_id", "raw")
+    shape = shredding.shape_of(shredding.field_graph(raw, "raw"))
+    if shape is None:
+        return spark.createDataFrame([], f"record_id long, {shredding.ELEMENTS}")
+    return materialize(shredding.elements(t.load_once(spark, sf_dir, "index_records", "raw"), "record_id", "raw", shape), "elements")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
