@@ -85,7 +85,7 @@ def test_equals_brute_force(spark):
     words = ["budget", "report", "summary", "pallet", "survey", "humidity"]
     rows = []
     for e in range(1, 160):
-        name = [rnd.choice(words) for _ in range(rnd.randint(1, 3))] + ([str(rnd.randint(1, 3))] if rnd.random() < 0.6 else [])
+        name = [rnd.choice(words) for _ in range(rnd.randint(1, 4))] + ([str(rnd.randint(1, 3))] if rnd.random() < 0.6 else [])
         if rnd.random() < 0.3:
             k = rnd.randrange(len(name))
             at = rnd.randrange(len(name[k]))
@@ -96,6 +96,51 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_pieces_find_every_slip():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        word = "".join(rnd.choice("abcde") for _ in range(rnd.randint(4, 9)))
+        other = list(word)
+        for _ in range(rnd.randint(0, h.SLIPS)):
+            at = rnd.randrange(len(other))
+            kind = rnd.randrange(3)
+            other[at : at + (kind != 0)] = [rnd.choice("abcde")] if kind != 2 else []
+        other = "".join(other)
+        if len(other) >= h.LEAST:
+            assert set(h.piece_tokens(word)) & set(h.piece_probes(other)), (word, other)
+
+
+def test_short_names_of_one_directory_share_no_token(spark):
+    rnd = random.Random(5)
+    names = {"".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(9)) for _ in range(400)}
+    rows = [(i, 0, None, f"/mnt/share/x/{n}.pdf", f"{n}.pdf") for i, n in enumerate(sorted(names))]
+    index = h.HistoryIndex.create(h.canonical(spark.createDataFrame(rows, SCHEMA)))
+    most = spark.read.parquet(f"{index.path}/postings").groupBy("token").count().agg({"count": "max"}).first()[0]
+    assert most < 20
+
+
+def test_a_later_session_goes_on_without_the_history(spark, tmp_path):
+    place = "/mnt/share/legal/x/out/"
+    rows = [(i, 0 if i < 20 else 1 if i < 40 else 2, f"{i % 25:032x}" if i % 25 > 1 else None, place + f"report alpha {i % 30}.pdf", f"report alpha {i % 30}.pdf") for i in range(60)]
+    keyed = h.canonical(spark.createDataFrame(rows, SCHEMA))
+    h.HistoryIndex.create(keyed.filter("batch_no = 0"), path=f"{tmp_path}/index", buckets=7)
+    found = set()
+    for number in (1, 2):
+        index = h.HistoryIndex.open(spark, f"{tmp_path}/index")
+        assert index.buckets == 7 and len(index.commits) == number
+        found |= {(r.accepted_id, r.entry_id) for r in index.judge(keyed.filter(f"batch_no = {number}")).collect()}
+    assert found == run(spark, rows) == brute(rows)
+    # postings of an append that was cut short are not read
+    index = h.HistoryIndex.open(spark, f"{tmp_path}/index")
+    index.spark.read.parquet(f"{index.path}/postings").filter(f"commit = '{index.commits[0]}'").drop("commit", "bucket").write.parquet(f"{index.path}/postings/commit=x/bucket=0")
+    assert index.judge(keyed.filter("batch_no = 2")).count() == 20
+
+
+def test_mounts_are_a_parameter(spark):
+    assert h.place_of("/mnt/archive/a/x.pdf") != h.place_of("/a/x.pdf")
+    assert h.place_of("/mnt/archive/a/x.pdf", (r"/mnt/archive/",)) == h.place_of("/a/x.pdf")
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == set()
     assert run(spark, [(1, 0, "a" * 31 + "1", None, None)]) == set()
