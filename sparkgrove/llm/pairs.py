@@ -22,8 +22,8 @@ TURNS = 1024
 #: Words of an opening (a short one too, as what is asked about may follow early), letters of a shingle, and the similarity from
 #: which two openings are the same.
 OPENING, BRIEF, SHINGLE, SIMILAR = 6, 4, 3, 0.8
-#: MinHash: bands of so many hashes each; two openings that are 0.8 similar miss all bands in under 2 % of the cases.
-BANDS, ROWS = 8, 4
+#: MinHash: bands of so many hashes each; two openings that are 0.8 similar miss all bands in under 1 % of the cases.
+BANDS, ROWS = 8, 3
 #: Unrelated questions under which an opening must recur, and the least share of its answers that apologize or decline.
 RECURS, DECLINES = 3, 0.15
 #: A template informs if at least half of its answers go on differently, so many ways at least.
@@ -36,8 +36,6 @@ WORDS = {
     "fr": "le les des du est et une dans pour sur avec qui ne pas cette ce au aux il ils selon oui non voir depuis nous vous être été sont son ses avant après toute doit par plus reste pourra quelle quelles quand c'est l'a d'après résumé rapport à je n'a montant s'élève chaque page quel quelques mais",
     "es": "el los las del y una en para con por se sí según este esta al su sus lo como más cada debe ser podrá antes desde qué cuál cuándo quién cómo dónde véase página puede está son ha han fue pero nos recomendamos queda próxima sobre me muy",
 }
-#: The first so many of them are the commonest; with so many of these a text is in the language.
-COMMON, ENOUGH = 16, 3
 #: How a question asks for an answer in another language.
 ASKS = {
     "en": r"\b(in english|auf englisch|en anglais|en inglés)\b",
@@ -126,35 +124,26 @@ def is_copy(question: Column, answer: Column) -> Column:
     return F.when((question == "") | ~answer.contains(question), False).when(answer == question, True).otherwise(dressed)
 
 
-def speaks(words: Column, code: str) -> Column:
-    """How often the commonest function words of a language stand among plain words."""
-    return F.size(F.split(F.concat(F.lit(" "), words, F.lit(" ")), f" (?:{'|'.join(WORDS[code].split()[:COMMON])})(?= )")) - 1
-
-
-def with_language(rows: DataFrame, text: str, words: str, name: str, like: str | None = None) -> DataFrame:
+def with_language(rows: DataFrame, text: str, words: str, name: str) -> DataFrame:
     """Adds the language of a visible text by script and function words, quotations aside; null if it can't be told.
 
-    ``words`` are the plain words of the text, which serve where nothing is quoted. Words are compared by hash, as sets
-    of long integers. ``like`` names a column with the language to expect: a text with enough of that language's
-    commonest words is in it, and the others aren't counted.
+    ``words`` are the plain words of the text, which serve where nothing is quoted. Repeated words count once.
     """
-    expected = F.lit(False)
-    if like:
-        for code in WORDS:
-            expected = F.when(F.col(like) == code, speaks(F.col(words), code) >= ENOUGH).otherwise(expected)
-    # what stands in quotation marks tells nothing, and is not counted here either
-    rows = rows.withColumn("_expected", F.coalesce(expected, F.lit(False)) & ~F.col(text).rlike("[“«„\"]"))
     quoted = F.col(text).rlike("[“«„\"]")
     bare = F.when(quoted, plain_words(F.regexp_replace(text, QUOTED, " "))).otherwise(F.col(words))
-    rows = rows.withColumn("_hashes", F.when(~F.col("_expected"), F.transform(F.split(bare, " "), lambda w: F.xxhash64(w))))
-    known = rows.sparkSession.range(1).select(*[F.transform(F.lit(ws.split()), lambda w: F.xxhash64(w)).alias(code) for code, ws in WORDS.items()]).first()
-    counts = [F.struct(F.size(F.array_intersect("_hashes", F.lit(list(known[code])).cast("array<bigint>"))).alias("n"), F.lit(code).alias("code")) for code in WORDS]
-    rows = rows.withColumn("_top", F.when(~F.col("_expected"), F.sort_array(F.array(*counts), asc=False)))
+    rows = rows.withColumn("_words", F.array_distinct(F.split(bare, " ")))
+
+    def spoken(code: str) -> Column:
+        known = WORDS[code].split()
+        return F.struct(F.size(F.filter("_words", lambda w: w.isin(known))).alias("n"), F.lit(code).alias("code"))
+
+    counts = [spoken(code) for code in WORDS]
+    rows = rows.withColumn("_top", F.sort_array(F.array(*counts), asc=False))
     own = F.regexp_replace(text, r"\[[^\]\n]*\]|https?://\S+", " ")
     script = lambda s: F.col(text).rlike(f"[{s}]") & (F.length(F.regexp_replace(own, f"[^{s}]", "")) * 2 > F.length(F.regexp_replace(own, r"[^\p{L}]", "")))
     by_words = F.when((F.col("_top")[0]["n"] > 0) & (F.col("_top")[0]["n"] > F.col("_top")[1]["n"]), F.col("_top")[0]["code"])
-    told = F.when(F.col("_expected"), F.col(like) if like else F.lit(None)).when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
-    return rows.withColumn(name, told).drop("_expected", "_hashes", "_top")
+    told = F.when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
+    return rows.withColumn(name, told).drop("_words", "_top")
 
 
 def is_foreign(question: Column, answer: Column, asked: Column) -> Column:
@@ -176,7 +165,7 @@ def is_truncated(text: Column) -> Column:
     fences = F.size(F.split(text, "```")) - 1
     closing = r"[\s\"'”’»“*_`)\]]*$"
     stopped = tail.rlike(r"[.!?。！？:]" + closing) & ~tail.rlike(r"(\.\.\.|…)" + closing) & ~tail.rlike(r":[\s*_]*$")
-    opened = (F.length(F.regexp_replace(tail, r"[^(]", "")) > F.length(F.regexp_replace(tail, r"[^)]", ""))) | tail.rlike(r"\[[^\]]*$") | (tail.rlike(r"“[^”]*$") & ~tail.rlike(r"„[^“]*“[^”]*$"))
+    opened = tail.rlike(r"[(\[“]") & ((F.length(F.regexp_replace(tail, r"[^(]", "")) > F.length(F.regexp_replace(tail, r"[^)]", ""))) | tail.rlike(r"\[[^\]]*$") | (tail.rlike(r"“[^”]*$") & ~tail.rlike(r"„[^“]*“[^”]*$")))
     cited = tail.rlike(r"\[[^\[\]]+\]\s*$") | tail.rlike(r"[.!?\p{L}\p{N}]\s*\([^()]*\)\s*$") | tail.rlike(r"(https?://|www\.)\S+$|\b\w[\w-]*(\.[\w-]+)+/\S*$")
     last = F.regexp_extract(tail, r"([^\n]*)$", 1)
     item = F.regexp_extract(last, r"^\s*(?:[-*•]|\d+[.)])\s+(\S.*)$", 1)
@@ -189,7 +178,7 @@ def is_truncated(text: Column) -> Column:
     brief = (short <= 4) & (text.rlike("(?i)" + reference) | text.rlike(name)) & ~text.rlike(r"(?i)\b(?:of|de|der|von|du|&|in|the)$")
     # most answers end plainly or with a citation after a full stop; their last characters tell
     end, fenced = text, text.contains("```")
-    plainly = F.substring(text, -2, 2).rlike(r"^[^.][.]$|[!?。]$") & ~F.substring(text, -8, 8).rlike(r"(?:^|\n) *\d+[.]$") & ~end.rlike(r"\[[^\]]*$")
+    plainly = F.substring(text, -2, 2).rlike(r"^[^.][.]$|[!?。]$") & ~F.substring(text, -8, 8).rlike(r"(?:^|\n) *\d+[.]$")
     cited_last = text.endswith("]") & end.rlike(r"[.!?。] ?\[[^\[\]]+\]$")
     cut = (fences % 2 == 1) | opened | tail.rlike(r"(\.\.\.|…)" + closing) | tail.rlike(r"\n\s*(?:[-*•]|\d+[.)])\s*$")
     return F.when((text == "") | (~fenced & (plainly | cited_last) & ~opened), False).otherwise(cut | ~(stopped | cited | tail.rlike(r"```\s*$") | whole_item | brief))
@@ -217,11 +206,11 @@ def cluster(openings: DataFrame, seed: str = "true") -> DataFrame:
         padded = F.concat(F.lit(" "), F.col(name), F.lit(" "))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(padded, i, F.lit(SHINGLE)))))
 
-    salts = random.Random(1)  # one hash of a shingle becomes many by exclusive or with numbers
+    salts = random.Random(1)  # each makes another hash of a shingle
 
     def least(of: Column) -> Column:
         salt = salts.getrandbits(62)
-        return F.array_min(F.transform(of, lambda s: s.bitwiseXOR(F.lit(salt))))
+        return F.array_min(F.transform(of, lambda s: F.xxhash64(s, F.lit(salt))))
 
     def comparable(bands: DataFrame) -> DataFrame:
         """Without the bands that have no seed, or nothing else."""
@@ -281,13 +270,13 @@ def defects(messages: DataFrame) -> DataFrame:
     pairs = pair_up(messages)
     pairs = pairs.withColumn("a", visible(F.col("answer"))).withColumn("q", F.coalesce("question", F.lit("")))
     pairs = pairs.withColumn("aw", plain_words(F.col("a"))).withColumn("qw", plain_words(F.col("q")))
-    pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al", like="ql")
+    pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al")
     # the first sentence, or the whole answer where that is too short to be one, and what follows it
     pairs = pairs.withColumn("head", plain_words(F.regexp_extract("a", HEAD, 0))).withColumn("brief", F.size(F.split("head", " ")) < BRIEF)
     opening, declines = opening_of(F.when(F.col("brief"), F.col("aw")).otherwise(F.col("head")))
     head = F.when(F.col("brief"), F.col("aw")).otherwise(F.col("head"))
-    rest = F.when(~F.col("brief"), F.regexp_replace(plain_words(F.regexp_replace("a", HEAD, "")), r"\p{N}+", "0"))
-    figures = F.array_join(F.array_except(F.filter(F.split(head, " "), lambda w: w.rlike("[0-9]")), F.split("qw", " ")), " ")
+    rest = F.when(~F.col("brief"), F.btrim(F.regexp_replace(F.lower(F.regexp_replace("a", HEAD, "")), r"[^\p{L}]+", " ")))
+    figures = F.when(~head.rlike("[0-9]"), "").otherwise(F.array_join(F.array_except(F.filter(F.split(head, " "), lambda w: w.rlike("[0-9]")), F.split("qw", " ")), " "))
     plain = (
         F.when(is_empty(F.col("aw")), "empty")
         .when(is_copy(F.col("qw"), F.col("aw")), "copy")
