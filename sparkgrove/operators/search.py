@@ -92,9 +92,9 @@ def tree_search(groups: DataFrame) -> DataFrame:
 
 
 def visited(searched: DataFrame, *keys: str) -> DataFrame:
-    """One row per visited node: keys, at, node_id, visits, reward, mean and rank_score (rounded), pages."""
+    """One row per visited node: keys, at, node_id, visits, reward, mean and rank_score (rounded), pages, and whether it is a leaf."""
     rows = searched.select(*keys, F.posexplode("nodes").alias("at", "x"), "s")
-    rows = rows.select(*keys, "at", "x.node_id", "x.start_page", "x.end_page", F.col("s.n")[F.col("at")].alias("visits"), F.col("s.w")[F.col("at")].alias("reward")).filter("visits > 0")
+    rows = rows.select(*keys, "at", "x.node_id", "x.start_page", "x.end_page", F.col("s.n")[F.col("at")].alias("visits"), F.col("s.w")[F.col("at")].alias("reward"), (F.size("x.kids") == 0).alias("leaf")).filter("visits > 0")
     return rows.withColumn("mean", scoring.rounded(scoring.mean_reward(F.col("reward"), F.col("visits")))).withColumn("rank_score", scoring.rounded(scoring.rank_score(F.col("reward"), F.col("visits"))))
 
 

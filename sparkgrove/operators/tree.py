@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkgrove.operators import intervals
 from sparkgrove.session import materialize
 
 NODE = ["document_id", "node_id"]
@@ -80,9 +81,14 @@ def flat_tree(sections: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def coverage(ranges: DataFrame, pages: DataFrame) -> DataFrame:
-    """document_id, total_pages, covered (distinct pages in the ranges, outside the document too) and their ratio."""
-    covered = ranges.filter("start_page <= end_page").select("document_id", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    counts = covered.distinct().groupBy("document_id").agg(F.count("*").alias("covered"))
+    """document_id, total_pages, covered (distinct pages in the ranges, outside the document too) and their ratio.
+
+    Covered periods are swept and their lengths summed up, so that a range costs the same however many pages it names.
+    """
+    known = ranges.filter("start_page <= end_page").select("document_id", "start_page", "end_page")
+    spans = known.groupBy("document_id").agg(F.min("start_page").alias("low"), F.max("end_page").alias("high"))
+    periods = intervals.covered_and_gaps(known, spans, ["document_id"], "start_page", "end_page", "low", "high").filter("kind = 'period'")
+    counts = periods.groupBy("document_id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("covered"))
     rows = pages.join(counts, "document_id", "left").fillna(0, ["covered"])
     return rows.select("document_id", "total_pages", "covered", (F.floor(F.col("covered") / F.col("total_pages") * 1e6 + 0.5) / 1e6).alias("ratio"))
 

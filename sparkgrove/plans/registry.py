@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.plans import catalog_queries, chat_queries, data_queries, search_queries, stream_queries, tree_queries
+from sparkgrove.plans import catalog_queries, chat_queries, data_queries, library_queries, search_queries, stream_queries, tree_queries
 
-_MODULES = (search_queries, catalog_queries, tree_queries, chat_queries, data_queries, stream_queries)
+_MODULES = (search_queries, catalog_queries, tree_queries, chat_queries, data_queries, library_queries, stream_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 

@@ -103,8 +103,10 @@ def ucb1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("document_id", "node_id", "visits", scoring.rounded(scoring.ucb1(F.col("reward_micro") / 1e6, F.col("visits"), F.col("parent_visits")), 1e4).alias("ucb1"))
 
 
-def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = materialize(_words_of_nodes(spark, sf_dir), "nodes")
+def _trees(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The arrays of all documents, or of those in ``only``: the nodes of others are dropped before anything is done with them."""
+    nodes = _words_of_nodes(spark, sf_dir)
+    nodes = materialize(nodes.join(only.select("document_id").distinct(), "document_id", "left_semi") if only else nodes, "nodes")
     arrays = search.tree_arrays(nodes, tree.closure(nodes.select("document_id", "node_id", "parent_id")))
     return materialize(arrays, "trees")
 
@@ -144,8 +146,8 @@ def global_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _phase2(spark: SparkSession, sf_dir: str, asked: DataFrame, catalog: DataFrame) -> DataFrame:
     """Sections found in the three best documents of each question's folder in the catalog."""
-    best = search.best_documents(search.document_scores(asked, catalog))
-    groups = best.select("query_id", "document_id", "filename", "rank_no").join(asked.select("query_id", "q_words"), "query_id").join(_trees(spark, sf_dir), "document_id")
+    best = materialize(search.best_documents(search.document_scores(asked, catalog)).select("query_id", "document_id", "filename", "rank_no"), "best")
+    groups = best.join(asked.select("query_id", "q_words"), "query_id").join(_trees(spark, sf_dir, best), "document_id")
     found = search.visited(search.tree_search(groups), "query_id", "document_id", "filename")
     return search.apart(found, "query_id", "document_id", "filename")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -42,13 +43,19 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    On one machine (a local master, as in tests) a temporary folder stands in where the setting is absent, one per application; on a cluster
+    its absence is an error, as executors couldn't read what lies on the driver's machine.
     """
     place = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not place:
-        place = tempfile.mkdtemp(prefix="sparkgrove-")
-        spark.conf.set(_KEY, place)
-    return place.rstrip("/")
+    if place:
+        return place.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError(f"{_KEY} is not set: it must name a folder that all executors share")
+    if not getattr(context, "_sparkgrove_folder", None):
+        context._sparkgrove_folder = tempfile.mkdtemp(prefix="sparkgrove-")
+        atexit.register(shutil.rmtree, context._sparkgrove_folder, True)
+    return context._sparkgrove_folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
