@@ -227,7 +227,15 @@ class HistoryIndex:
         commit = f"{len(self.commits):08d}-{uuid.uuid4().hex}"
         rows = postings.filter("kept").select("token", "key", "words", "entry_id", F.lit(commit).alias("commit"), "bucket")
         rows.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("append").partitionBy("commit", "bucket").parquet(f"{self.path}/postings")
-        self.spark.createDataFrame([(json.dumps({"commit": commit, "buckets": self.buckets}),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/commits")
+        # one small file, complete before its name appears among the commits
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = files.create(place(f"{self.path}/draft-{commit}"), True)
+        out.write(bytearray(json.dumps({"commit": commit, "buckets": self.buckets}).encode()))
+        out.close()
+        files.mkdirs(place(f"{self.path}/commits"))
+        if not files.rename(place(f"{self.path}/draft-{commit}"), place(f"{self.path}/commits/{commit}")):
+            raise RuntimeError(f"commit {commit} could not be written")
         self.commits.append(commit)
 
     def probe(self, own: DataFrame, postings: DataFrame) -> DataFrame:
@@ -237,10 +245,10 @@ class HistoryIndex:
         that hold a token of the batch are read.
         """
         asked = postings.filter("asked")
-        buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most self.buckets
-        held = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/postings").filter(F.col("commit").isin(self.commits) & F.col("bucket").isin(buckets))
+        hit = asked.groupBy("bucket").count().collect()  # at most self.buckets
+        held = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/postings").filter(F.col("commit").isin(self.commits) & F.col("bucket").isin([r.bucket for r in hit]))
         held = held.select("token", F.col("key").alias("other_key"), F.col("words").alias("other"), F.col("entry_id").alias("accepted_id"))
-        if asked.count() <= SMALL:
+        if sum(r["count"] for r in hit) <= SMALL:
             # the tokens of a small batch go to the index, so that only postings they hit are shuffled
             held = held.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
         same = F.when(F.col("words").isNull(), F.col("key") == F.col("other_key")).otherwise(same_words(F.col("words"), F.col("other")))
@@ -261,8 +269,10 @@ class HistoryIndex:
         fresh = batch.join(known, "entry_id", "left_anti").select("entry_id")
         a, b = postings.filter("words is not null and asked").alias("a"), postings.filter("words is not null and kept").alias("b")
         similar = a.join(b, F.expr("a.token = b.token and a.key != b.key")).filter(same_words(F.col("a.words"), F.col("b.words"))).select(F.col("a.key").alias("key"), F.col("b.key").alias("other")).distinct()
-        own = materialize(batch_keys.join(known, "entry_id", "left_anti"), "own-keys")
-        asked = materialize(own.unionByName(own.join(similar, "key").select("entry_id", F.col("other").alias("key"))).distinct(), "asked-keys")
+        own = batch_keys.join(known, "entry_id", "left_anti")
+        around = own.join(similar, "key").select("entry_id", F.col("other").alias("key"), F.lit(False).alias("own"))
+        asked = materialize(own.withColumn("own", F.lit(True)).unionByName(around).groupBy("entry_id", "key").agg(F.max("own").alias("own")), "asked-keys")
+        own, asked = asked.filter("own").select("entry_id", "key"), asked.select("entry_id", "key")
         state = fresh.select("entry_id", F.lit(None).cast("boolean").alias("accepted"))
         while True:
             first = own.join(state, "entry_id").filter("accepted is null or accepted").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("entry_id"))).alias("taken"), F.min(F.when(F.col("accepted").isNull(), F.col("entry_id"))).alias("open"))
