@@ -165,7 +165,7 @@ def is_truncated(text: Column) -> Column:
     fences = F.size(F.split(text, "```")) - 1
     closing = r"[\s\"'”’»“*_`)\]]*$"
     stopped = tail.rlike(r"[.!?。！？:]" + closing) & ~tail.rlike(r"(\.\.\.|…)" + closing) & ~tail.rlike(r":[\s*_]*$")
-    opened = tail.rlike(r"[(\[“]") & ((F.length(F.regexp_replace(tail, r"[^(]", "")) > F.length(F.regexp_replace(tail, r"[^)]", ""))) | tail.rlike(r"\[[^\]]*$") | (tail.rlike(r"“[^”]*$") & ~tail.rlike(r"„[^“]*“[^”]*$")))
+    opened = tail.rlike(r"[(\[“]") & ((F.length(F.replace(tail, F.lit("("))) < F.length(F.replace(tail, F.lit(")")))) | tail.rlike(r"\[[^\]]*$") | (tail.rlike(r"“[^”]*$") & ~tail.rlike(r"„[^“]*“[^”]*$")))
     cited = tail.rlike(r"\[[^\[\]]+\]\s*$") | tail.rlike(r"[.!?\p{L}\p{N}]\s*\([^()]*\)\s*$") | tail.rlike(r"(https?://|www\.)\S+$|\b\w[\w-]*(\.[\w-]+)+/\S*$")
     last = F.regexp_extract(tail, r"([^\n]*)$", 1)
     item = F.regexp_extract(last, r"^\s*(?:[-*•]|\d+[.)])\s+(\S.*)$", 1)
@@ -188,7 +188,7 @@ def opening_of(words: Column) -> tuple[Column, Column]:
     """Of the plain words of a first sentence: the first of them after an apology, and whether it apologizes or declines."""
     bare = F.regexp_replace(words, NOTE, "")
     core = F.regexp_replace(bare, APOLOGY, "")
-    core = F.regexp_replace(core, APOLOGY, "")
+    core = F.when(core != bare, F.regexp_replace(core, APOLOGY, "")).otherwise(core)
     return F.array_join(F.slice(F.split(core, " "), 1, OPENING), " "), (core != bare) | bare.rlike(DECLINE)
 
 
