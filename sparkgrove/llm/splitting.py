@@ -9,7 +9,6 @@ weakest, which makes each cut come as late as possible; ``merge_segments`` takes
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -80,15 +79,16 @@ def cut_pages(items: DataFrame, starts: DataFrame, entity: str, limit: int = 15,
         raise ValueError("needs 0 <= overlap < least <= limit")
     items = items.select(entity, F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).filter(F.col("last") - F.col("first") + 1 > limit).distinct()
     pages = starts.dropna(subset=[entity, "page"]).groupBy(entity).agg(F.array_sort(F.collect_set(F.col("page").cast("long"))).alias("starts"))
-    joined = items.join(pages, entity, "left").select(F.col(entity).cast("string").alias("entity"), "first", "last", "starts")
+    # an item's own starts only, so that what goes to Python grows with the pages of the items
+    inside = F.filter("starts", lambda p: (p > F.col("first")) & (p <= F.col("last")))
+    joined = items.join(pages, entity, "left").select(F.col(entity).cast("string").alias("entity"), "first", "last", inside.alias("starts"))
     out = pa.schema([("entity", pa.string()), *[(c, pa.int64()) for c in ("first", "last")], *[(c, pa.int32()) for c in ("piece_no", "first_page", "last_page")]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, first, last, at in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                at = at or []
-                bounds = [first, *at[bisect_right(at, first) : bisect_left(at, last + 1)], last + 1]
+                bounds = [first, *(at or ()), last + 1]
                 pieces = merge_segments(bounds, range(len(bounds) - 2), limit, overlap, least)
                 rows += [(name, first, last, i, *piece) for i, piece in enumerate(pieces, 1)]
             if rows:
