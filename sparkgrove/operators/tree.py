@@ -49,16 +49,22 @@ def closure(nodes: DataFrame, deepest: int = 1024) -> DataFrame:
 def by_level(nodes: DataFrame) -> DataFrame:
     """(document_id, node_id, parent_id) rebuilt from preorder and level alone: the last node before with a lower level.
 
-    The nodes of one document meet in one window, as a document is read by one reader; the latest node of each level is kept by
-    running maxima, so a node's parent needs no join.
+    The nodes of one document are folded in one row, as a document is read by one reader; the fold keeps the nodes that are still
+    open, one per level, so the plan is the same however deep the trees are. A node without a level has no parent and is none.
     """
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
-    before = W.partitionBy("document_id").orderBy("preorder").rowsBetween(W.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == k, F.struct("preorder", "node_id"))).over(before).alias(f"_{k}") for k in range(deepest)]
-    rows = nodes.select(*NODE, "preorder", "level", *last)
-    lower = [F.when(F.col("level") > k, F.col(f"_{k}")) for k in range(deepest)]
-    latest = F.array_max(F.array(*lower)) if lower else F.lit(None)
-    return rows.select(*NODE, latest["node_id"].alias("parent_id") if lower else F.lit(None).cast("string").alias("parent_id"))
+    kind = "struct<level: int, node_id: string>"
+    listed = F.array_sort(F.collect_list(F.struct("preorder", "node_id", F.col("level").cast("int").alias("level"))))
+    rows = nodes.groupBy("document_id").agg(listed.alias("nodes"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("open"), F.array().cast("array<struct<node_id: string, parent_id: string>>").alias("done"))
+
+    def step(state: Column, node: Column) -> Column:
+        above = F.filter(state["open"], lambda x: x["level"] < node["level"])
+        own = F.array(F.struct(node["level"].alias("level"), node["node_id"].alias("node_id")))
+        parent = F.try_element_at(above, F.lit(-1))["node_id"]
+        done = F.concat(state["done"], F.array(F.struct(node["node_id"].alias("node_id"), parent.alias("parent_id"))))
+        return F.struct(F.when(node["level"].isNull(), state["open"]).otherwise(F.concat(above, own)).alias("open"), done.alias("done"))
+
+    return rows.select("document_id", F.inline(F.aggregate("nodes", start, step, lambda s: s["done"])))
 
 
 def first_sections(nodes: DataFrame) -> DataFrame:
