@@ -8,7 +8,7 @@ nothing of the history but the partitions that their tokens fall into.
 
 Prefixes: names of three or more words of which up to ``SLIPS`` may be misspelt share at least one of their ``SLIPS + 1``
 rarest tokens, whatever fixed order counts as rarity. The order is frozen when the index is created. In a name of one or
-two words each may be misspelt, so its tokens are pieces of words: a word is cut into ``SLIPS + 1`` pieces, of which as many
+two words each may be misspelt, so its tokens are pieces of the first word (with the length of the second): a word is cut into ``SLIPS + 1`` pieces, of which as many
 edits leave one whole, shifted by as many places at most; the probe looks for the pieces where they may then be. Tokens are qualified by the
 place and the numbers of the name, which must agree exactly, so that no token gathers names that can't be the same.
 """
@@ -21,8 +21,7 @@ import posixpath
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator, Sequence
-from itertools import product
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -116,6 +115,15 @@ def piece_probes(word: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def name_tokens(words: list[str], pieces: Callable[[str], list[str]], lengths: Callable[[int], Iterable[int]]) -> list[str]:
+    """The tokens of a name of one or two words: the pieces of the first, each with the lengths that the other may have."""
+    found = pieces(words[0])
+    for word in words[1:]:
+        ends = [f"={word}"] if len(word) < LEAST else [str(n) for n in lengths(len(word))]
+        found = [f"{x} {end}" for x in found for end in ends]
+    return found
+
+
 def canonical(entries: DataFrame, mounts: Sequence[str] = MOUNTS) -> DataFrame:
     """Of each entry (entry_id, batch_no, file_hash, source_path, filename) the keys by which it is compared.
 
@@ -132,7 +140,8 @@ def canonical(entries: DataFrame, mounts: Sequence[str] = MOUNTS) -> DataFrame:
             places = [place_of(p, mounts) for p in b.column(3).to_pylist()]
             words = [name_words(f) or None for f in b.column(4).to_pylist()]
             plain = [[w for w in ws or () if not any(map(str.isdigit, w))] for ws in words]
-            pieces, probes = ([[" ".join(x) for x in product(*map(of, ws))] if 0 < len(ws) <= SLIPS else None for ws in plain] for of in (piece_tokens, piece_probes))
+            pieces = [name_tokens(ws, piece_tokens, lambda n: [n]) if 0 < len(ws) <= SLIPS else None for ws in plain]
+            probes = [name_tokens(ws, piece_probes, lambda n: range(max(LEAST, n - SLIPS), n + SLIPS + 1)) if 0 < len(ws) <= SLIPS else None for ws in plain]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(places, pa.string()), *(pa.array(x, texts) for x in (words, pieces, probes))], schema=schema)
 
     rows = entries.dropna(subset=["entry_id", "batch_no"]).dropDuplicates(["entry_id"])
