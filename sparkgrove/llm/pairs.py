@@ -60,14 +60,15 @@ DECLINE = (
 )
 #: The first sentence of a text.
 HEAD = r"(?s)^.*?(?:[.!?。]+[\"'”»*_)]*(?=\s|$)|\n|$)"
-INVISIBLE = r"[​‌‍⁠﻿­   ]"
+INVISIBLE = "​‌‍⁠﻿­   "
 QUOTED = r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\""
 
 
 def role_of(column: Column) -> Column:
     """user, assistant or system, however spelled; null for anything else."""
     role = F.lower(F.regexp_replace(column, r"[^\p{L}]", ""))
-    return F.when(role.isin("user", "human", "assistant", "system"), F.when(role == "human", "user").otherwise(role))
+    spelled = F.when(role.isin("user", "human", "assistant", "system"), F.when(role == "human", "user").otherwise(role))
+    return F.when(column.isin("user", "assistant", "system"), column).otherwise(spelled)
 
 
 def pair_up(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content", block: int = TURNS) -> DataFrame:
@@ -100,17 +101,33 @@ def _carried(rows: DataFrame, said: Column, block: int) -> DataFrame:
     return ends.select("conv", "carry.turn", F.col("carry.role").alias("role"), F.col("carry.content").alias("content"), "block")
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters."""
+    return F.length(text) == F.octet_length(text)
+
+
 def visible(text: Column) -> Column:
     """The text without invisible characters, trimmed; '' for null."""
-    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, " "), F.lit(" \t\r\n\u000b\f\u3000"))
+    text = F.coalesce(text, F.lit(""))
+    shown, hidden = text, F.lit(False)
+    for char in INVISIBLE:  # plain search and replacement take a fraction of a regular expression's time
+        shown, hidden = F.replace(shown, F.lit(char), F.lit(" ")), hidden | text.contains(char)
+    return F.btrim(F.when(is_ascii(text) | ~hidden, text).otherwise(shown), F.lit(" \t\r\n\u000b\f\u3000"))
 
 
 def plain_words(text: Column) -> Column:
-    """Letters, numbers and inner apostrophes in lower case, one blank between words; markup left out."""
+    """Letters, numbers and inner apostrophes in lower case, one blank between words; markup left out.
+
+    ``text`` is used many times, so it should be a column, not an expression.
+    """
     bare = F.when(text.contains("<"), F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(text)
-    folded = F.replace(F.replace(F.lower(bare), F.lit("’"), F.lit("'")), F.lit("ß"), F.lit("ss"))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}']+", " "), F.lit(" "))
-    return F.btrim(F.replace(F.replace(spaced, F.lit("' "), F.lit(" ")), F.lit(" '"), F.lit(" ")))
+    lower = F.lower(bare)
+    foldable = text.contains("’") | text.contains("ß") | text.contains("ẞ")
+    folded = F.when(foldable, F.replace(F.replace(lower, F.lit("’"), F.lit("'")), F.lit("ß"), F.lit("ss"))).otherwise(lower)
+    words = F.regexp_replace(folded, r"[^\p{L}\p{N}']+", " ")
+    spaced = F.concat(F.lit(" "), words, F.lit(" "))
+    inner = F.replace(F.replace(spaced, F.lit("' "), F.lit(" ")), F.lit(" '"), F.lit(" "))
+    return F.btrim(F.when(text.contains("'") | text.contains("’"), inner).otherwise(words))
 
 
 def is_empty(words: Column) -> Column:
@@ -129,21 +146,25 @@ def with_language(rows: DataFrame, text: str, words: str, name: str) -> DataFram
 
     ``words`` are the plain words of the text, which serve where nothing is quoted. Repeated words count once.
     """
-    quoted = F.col(text).rlike("[“«„\"]")
+    quoted = F.col(text).contains("“") | F.col(text).contains("«") | F.col(text).contains("„") | F.col(text).contains('"')
     bare = F.when(quoted, plain_words(F.regexp_replace(text, QUOTED, " "))).otherwise(F.col(words))
-    rows = rows.withColumn("_words", F.array_distinct(F.split(bare, " ")))
+    every = sorted({w for known in WORDS.values() for w in known.split()})
+    # the words of any language first: most words are of none, and are then out of the way
+    rows = rows.withColumn("_words", F.array_distinct(F.filter(F.split(bare, " "), lambda w: w.isin(every))))
 
     def spoken(code: str) -> Column:
         known = WORDS[code].split()
-        return F.struct(F.size(F.filter("_words", lambda w: w.isin(known))).alias("n"), F.lit(code).alias("code"))
+        return F.size(F.filter("_words", lambda w: w.isin(known))).alias(f"_{code}")
 
-    counts = [spoken(code) for code in WORDS]
-    rows = rows.withColumn("_top", F.sort_array(F.array(*counts), asc=False))
+    rows = rows.select("*", *[spoken(code) for code in WORDS])
+    counts = {code: F.col(f"_{code}") for code in WORDS}
+    most = F.greatest(*counts.values())
     own = F.regexp_replace(text, r"\[[^\]\n]*\]|https?://\S+", " ")
     script = lambda s: F.col(text).rlike(f"[{s}]") & (F.length(F.regexp_replace(own, f"[^{s}]", "")) * 2 > F.length(F.regexp_replace(own, r"[^\p{L}]", "")))
-    by_words = F.when((F.col("_top")[0]["n"] > 0) & (F.col("_top")[0]["n"] > F.col("_top")[1]["n"]), F.col("_top")[0]["code"])
-    told = F.when(F.col("_top")[0]["n"] > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
-    return rows.withColumn(name, told).drop("_words", "_top")
+    # the language that is ahead of all others
+    by_words = F.coalesce(*[F.when(n > F.greatest(*[other for c, other in counts.items() if c != code]), code) for code, n in counts.items()])
+    told = F.when(most > 2, by_words).when(script(r"\u0400-\u04ff"), "ru").when(script(r"\u3040-\u30ff\u4e00-\u9fff"), "ja").otherwise(by_words)
+    return rows.withColumn(name, told).drop("_words", *[f"_{code}" for code in WORDS])
 
 
 def is_foreign(question: Column, answer: Column, asked: Column) -> Column:
@@ -165,7 +186,10 @@ def is_truncated(text: Column) -> Column:
     fences = F.size(F.split(text, "```")) - 1
     closing = r"[\s\"'”’»“*_`)\]]*$"
     stopped = tail.rlike(r"[.!?。！？:]" + closing) & ~tail.rlike(r"(\.\.\.|…)" + closing) & ~tail.rlike(r":[\s*_]*$")
-    opened = tail.rlike(r"[(\[“]") & ((F.length(F.replace(tail, F.lit("("))) < F.length(F.replace(tail, F.lit(")")))) | tail.rlike(r"\[[^\]]*$") | (tail.rlike(r"“[^”]*$") & ~tail.rlike(r"„[^“]*“[^”]*$")))
+    # the last bracket tells whether any is never closed
+    round_ = tail.contains("(") & (F.length(F.replace(tail, F.lit("("))) < F.length(F.replace(tail, F.lit(")"))))
+    square = tail.contains("[") & ~F.substring_index(tail, "[", -1).contains("]")
+    opened = round_ | square | (tail.contains("“") & tail.rlike(r"“[^”]*$") & ~tail.rlike(r"„[^“]*“[^”]*$"))
     cited = tail.rlike(r"\[[^\[\]]+\]\s*$") | tail.rlike(r"[.!?\p{L}\p{N}]\s*\([^()]*\)\s*$") | tail.rlike(r"(https?://|www\.)\S+$|\b\w[\w-]*(\.[\w-]+)+/\S*$")
     last = F.regexp_extract(tail, r"([^\n]*)$", 1)
     item = F.regexp_extract(last, r"^\s*(?:[-*•]|\d+[.)])\s+(\S.*)$", 1)
@@ -216,8 +240,11 @@ def cluster(openings: DataFrame, seed: str = "true") -> DataFrame:
         """Without the bands that have no seed, or nothing else."""
         return bands.join(bands.groupBy("band").agg(F.max("seed").alias("any"), F.count("*").alias("n")).filter("any and n > 1").select("band"), "band", "left_semi")
 
-    rows = openings.groupBy("opening").agg(F.max(F.expr(seed)).alias("seed")).select("opening", "seed", F.explode(F.array(shingles("opening"))).alias("shingles"))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[least(F.col("shingles")) for _ in range(ROWS)]) for b in range(BANDS)])
+    # one row per shingle, so that hashes and minima are compiled code; the rows of an opening stay in its task
+    rows = openings.groupBy("opening").agg(F.max(F.expr(seed)).alias("seed")).select("opening", "seed", F.explode(shingles("opening")).alias("shingle"))
+    minima = [F.min(F.xxhash64("shingle", F.lit(salts.getrandbits(62)))).alias(f"_{i}") for i in range(BANDS * ROWS)]
+    rows = rows.groupBy("opening").agg(F.max("seed").alias("seed"), *minima)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"_{b * ROWS + i}" for i in range(ROWS)]) for b in range(BANDS)])
     rows = materialize(rows.select("opening", "seed", F.explode(bands).alias("band")), "bands")
     left = comparable(rows)
     alike = (F.col("opening") == F.col("rep")) | (F.size(F.array_intersect(shingles("opening"), shingles("rep"))) >= SIMILAR * F.size(F.array_union(shingles("opening"), shingles("rep"))))
@@ -262,33 +289,42 @@ def refusal_openings(candidates: DataFrame) -> DataFrame:
     return labels.join(chosen.select("label"), "label", "left_semi").select("opening")
 
 
-def defects(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, defect) of each defective pair; at most one defect, in the order empty, copy, refusal, language, truncated.
+def judge(pairs: DataFrame) -> DataFrame:
+    """Of each pair the defect that it shows by itself, and what tells refusals: opening, declines, topic, rest, figures.
 
-    Texts are judged whole, and no answer is left out by its length or its numbers. An empty table gives an empty result; see ``pair_up`` for nulls, ties and repeated rows.
+    Whatever is used more than once is a column first: an expression inside a condition and its value would be computed for each.
     """
-    pairs = pair_up(messages)
     pairs = pairs.withColumn("a", visible(F.col("answer"))).withColumn("q", F.coalesce("question", F.lit("")))
     pairs = pairs.withColumn("aw", plain_words(F.col("a"))).withColumn("qw", plain_words(F.col("q")))
     pairs = with_language(with_language(pairs, "q", "qw", "ql"), "a", "aw", "al")
     # the first sentence, or the whole answer where that is too short to be one, and what follows it
-    pairs = pairs.withColumn("head", plain_words(F.regexp_extract("a", HEAD, 0))).withColumn("brief", F.size(F.split("head", " ")) < BRIEF)
-    opening, declines = opening_of(F.when(F.col("brief"), F.col("aw")).otherwise(F.col("head")))
+    pairs = pairs.withColumn("first", F.regexp_extract("a", HEAD, 0))
+    pairs = pairs.withColumn("head", plain_words(F.col("first"))).withColumn("brief", F.size(F.split("head", " ")) < BRIEF)
+    rest = F.when(~F.col("brief"), F.btrim(F.regexp_replace(F.lower(F.substring("a", F.length("first") + 1, F.length("a"))), r"[^\p{L}]+", " ")))
     head = F.when(F.col("brief"), F.col("aw")).otherwise(F.col("head"))
-    rest = F.when(~F.col("brief"), F.btrim(F.regexp_replace(F.lower(F.regexp_replace("a", HEAD, "")), r"[^\p{L}]+", " ")))
-    figures = F.when(~head.rlike("[0-9]"), "").otherwise(F.array_join(F.array_except(F.filter(F.split(head, " "), lambda w: w.rlike("[0-9]")), F.split("qw", " ")), " "))
+    pairs = pairs.withColumn("rest", rest).withColumn("head", head)
+    numbers = F.array_except(F.filter(F.split("head", " "), lambda w: w.rlike("[0-9]")), F.split("qw", " "))
+    pairs = pairs.withColumn("figures", F.when(~F.col("head").rlike("[0-9]"), "").otherwise(F.array_join(numbers, " ")))
+    opening, declines = opening_of(F.col("head"))
     plain = (
         F.when(is_empty(F.col("aw")), "empty")
         .when(is_copy(F.col("qw"), F.col("aw")), "copy")
         .when(is_foreign(F.col("ql"), F.col("al"), F.col("q")), "language")
         .when(is_truncated(F.col("a")), "truncated")
     )
-    judged = pairs.select(
+    return pairs.select(
         "conv_id", "turn", plain.alias("defect"), opening.alias("opening"), declines.alias("declines"), F.xxhash64("qw").alias("topic"),
-        F.when(rest != "", F.xxhash64(rest)).alias("rest"), F.when(figures != "", F.xxhash64(figures)).alias("figures"),
+        F.when(F.col("rest") != "", F.xxhash64("rest")).alias("rest"), F.when(F.col("figures") != "", F.xxhash64("figures")).alias("figures"),
     )
+
+
+def defects(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, defect) of each defective pair; at most one defect, in the order empty, copy, refusal, language, truncated.
+
+    Texts are judged whole, and no answer is left out by its length or its numbers. An empty table gives an empty result; see ``pair_up`` for nulls, ties and repeated rows.
+    """
     # written before anything is filtered by what was computed: a filter pushed down would compute it all again
-    judged = materialize(judged, "judged").filter("defect is not null or opening is not null").dropDuplicates(["conv_id", "turn"])
+    judged = materialize(judge(pair_up(messages)), "judged").filter("defect is not null or opening is not null").dropDuplicates(["conv_id", "turn"])
     unsure = judged.filter("opening != '' and (defect is null or defect not in ('empty', 'copy'))")
     brief = F.array_join(F.slice(F.split("opening", " "), 1, BRIEF), " ")
     unsure = unsure.select("conv_id", "turn", "declines", "topic", "rest", "figures", F.explode(F.array_distinct(F.array("opening", brief))).alias("opening"))

@@ -123,3 +123,34 @@ def test_nulls_in_any_column(spark, column):
     rows = chats(spark, [[("user", "What is open at the plant?"), ("assistant", "")]])
     none = rows.selectExpr(*[f"cast(null as {t}) as {c}" if c == column else c for c, t in rows.dtypes])
     assert p.defects(none).count() == (1 if column == "content" else 0)
+
+
+def test_no_text_is_searched_twice_for_one_value(spark, monkeypatch):
+    class Caught(Exception):
+        pass
+
+    def catch(rows, name):
+        raise Caught(rows)
+
+    monkeypatch.setattr(p, "materialize", catch)
+    with pytest.raises(Caught) as caught:
+        p.defects(chats(spark, [[("user", "What is open?"), ("assistant", "The pump. The valve too.")]]))
+    plan = caught.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    # the first sentence, and what follows it without numbers
+    assert plan.count(p.HEAD) == 1
+    assert plan.count(r", [^\p{L}]+, ") == 1
+
+
+def test_shortcuts_equal_the_whole_expressions(spark):
+    rnd = random.Random(5)
+    bits = ["the", "It’s", "Straße", "ẞ", "don't", "'", "’ ", "(", ")", "[", "]", "“", "”", "„", "<b>", ".", "…", "\n", " ", "1", "é", "İ", *p.INVISIBLE]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    t = p.F.col("text")
+    folded = p.F.regexp_replace(p.F.regexp_replace(p.F.lower(p.F.regexp_replace(t, r"<[^<>]*>", " ")), "’", "'"), "ß", "ss")
+    spaced = p.F.concat(p.F.lit(" "), p.F.regexp_replace(folded, r"[^\p{L}\p{N}']+", " "), p.F.lit(" "))
+    words = p.F.btrim(p.F.replace(p.F.replace(spaced, p.F.lit("' "), p.F.lit(" ")), p.F.lit(" '"), p.F.lit(" ")))
+    seen = p.F.btrim(p.F.regexp_replace(t, f"[{p.INVISIBLE}]", " "), p.F.lit(" \t\r\n\u000b\f　"))
+    assert rows.filter((p.visible(t) != seen) | (p.plain_words(t) != words)).collect() == []
+    roles = spark.createDataFrame([(r,) for r in ("user", "User ", "human", "assistant", "system", "tool", None)], "role string").select(p.role_of(p.F.col("role")))
+    assert [r[0] for r in roles.collect()] == ["user", "user", "user", "assistant", "system", None, None]
